@@ -59,7 +59,7 @@ def scan_text(text: bytes | None, matcher) -> tuple[int, int, list[str], list[di
         change[first + n] -= 1
     hit = np.concatenate(([0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]))
     edges = np.flatnonzero(np.diff(hit))
-    at = [m.span() for m in WORD.finditer(text.decode("utf-8"))]
+    at = [m.span() for m in WORD.finditer(text.decode("utf-8", "replace"))]
     spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])]
     return len(words), int(hit.sum()), sorted({i for *_, ids in hits for i in ids}), spans
 
@@ -109,6 +109,6 @@ def _merged(df: DataFrame, text: str, left: str, right: str) -> DataFrame:
         F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
     )
-    inside = F.transform(joined, lambda s: F.size(F.regexp_extract_all(F.substring(F.col(text), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))))
+    inside = F.transform(joined, lambda s: F.size(F.regexp_extract_all(F.substring(F.col(text), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"))))
     n_hit = F.aggregate(inside, F.lit(0).cast("long"), lambda a, n: a + n)
     return df.withColumn(left, F.struct(F.col(f"{left}.n_words").alias("n_words"), n_hit.alias("n_hit"), F.array_sort(F.array_union(f"{left}.items", f"{right}.items")).alias("items"), joined.alias("spans"))).drop(right)
