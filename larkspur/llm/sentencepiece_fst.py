@@ -38,9 +38,9 @@ from larkspur.llm.words import binary_texts
 
 SPACE = "▁"
 #: Sub-paths, words and piece pairs remembered by one worker.
-MEMO_ENTRIES = 600_000
-WORD_ENTRIES = 800_000
-PAIR_ENTRIES = 1_000_000
+MEMO_ENTRIES = 250_000
+WORD_ENTRIES = 250_000
+PAIR_ENTRIES = 300_000
 #: Stands for the arc of a character outside the vocabulary, and its weight.
 _OUTSIDE = -2
 OUTSIDE_WEIGHT = 100.0
