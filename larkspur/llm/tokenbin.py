@@ -22,6 +22,7 @@ document id sorts first; an empty table writes no shard.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -44,17 +45,24 @@ LEVEL = 3
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 NULL_ID = -(1 << 63)
-#: Distinct word chunks remembered by one Python worker.
+#: Distinct parts of texts remembered by one Python worker.
 MEMO_ENTRIES = 400_000
 _ENTRY = struct.Struct("<qIQ")
 
 
+#: Signs whose normal form is their lower case, and the tokenizer's split on them.
+_PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
 class ChunkEncoder:
-    """Encodes through the tokenizers library, remembering white-space chunks.
+    """Encodes through the tokenizers library, remembering parts of texts.
 
-    The tokenizer drops white space and never joins text across it, so the ids of
-    a text are those of its chunks in order.  Texts that may hold a special
-    token's string are given to the library whole.
+    The tokenizer lower-cases, drops white space and splits texts into letter runs,
+    single digits and runs of other signs before it encodes, so the ids of a text
+    are those of its parts in order.  Texts of plain signs and precomposed Western
+    letters, which normalisation only lower-cases, are split that finely; others at
+    blanks; texts that may hold a special token's string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -72,7 +80,7 @@ class ChunkEncoder:
             if any(s in text for s in self.special):
                 yield self._ids([text])[0]
                 continue
-            chunks = text.replace("\n", " ").split(" ")
+            chunks = _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) else text.replace("\n", " ").split(" ")
             memo = self.memo
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
@@ -193,7 +201,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     with scratch.open_output(uri) as out:
         writer = ShardWriter(out)
         while first is not None:
-            texts = (x.decode("utf-8") if x else "" for x in binary_texts(first.column(1)))
+            texts = (x.decode("utf-8", "replace") if x else "" for x in binary_texts(first.column(1)))
             for doc_id, ids in zip(first.column(0).to_pylist(), encoder.encode(texts)):
                 writer.add(doc_id, ids + end)
                 docs += 1
