@@ -158,12 +158,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 def write(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> list[str]:
     """One archive a task; returns their URIs, one short row each."""
-    marked = scratch.cut(classify(pages, min_revisit_bytes))
 
     def task(batches):
         return _write(batches, folder)
 
-    return sorted(r.uri for r in marked.mapInArrow(task, "uri string, records long").collect())
+    return sorted(r.uri for r in classify(pages, min_revisit_bytes).mapInArrow(task, "uri string, records long").collect())
 
 
 def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
