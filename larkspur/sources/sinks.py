@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from larkspur.functions.columns import formula_guard, url_component
 from larkspur.operators.validation import fingerprint
 
-#: The header of a supplier's order file.
-ORDER_HEADER = ("Поставщик", "SKU", "Наименование", "Рекомендация NEXUS", "Подтверждено менеджером", "Срочность", "Расчёт на")
+#: The header of a supplier's order file, without a product name.
+ORDER_HEADER = ("Поставщик", "SKU", "Наименование", "Рекомендация", "Подтверждено менеджером", "Срочность", "Расчёт на")
 
 
 def _quoted(c: Column) -> Column:
