@@ -41,7 +41,7 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Tokens that hold a digit, with digit groups after single spaces, or an address
 #: without a dotted domain.
 _CANDIDATE = r"(?<![\p{L}\p{N}@._+-])(?:[A-Za-z._+-]{0,40}+[0-9][A-Za-z0-9._+-]*+(?:\x20[(]?[0-9][0-9().-]*+)*+|[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9.-]*\.[A-Za-z0-9]))"

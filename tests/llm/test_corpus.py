@@ -120,6 +120,12 @@ def test_base_identifiers_against_plain_expressions(spark):
     assert by == {i: base_of(t) for i, t in enumerate(texts)}
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "at 0.0.0.0, 00.1.1.1 and 127.0.0.1", "192.168.0.1 000.00.0.0255 0256.0.0.1 0.0.0.256", "0" * 3000 + ".0.0." + "0" * 3000 + "9"]
+    by = {r.id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find(frame(spark, texts)).collect()}
+    assert by == {i: base_of(t) for i, t in enumerate(texts)} and [len(by[i]) for i in range(4)] == [1, 3, 2, 1]
+
+
 def test_contexts_discover_unseen_identifiers(spark):
     seeds = [f"please reach phone: +1 (0{k:02d}) 555-{1000 + k} now" for k in range(12)]
     texts = [*seeds, "reach phone: 555 123 9876 now", "version: 555 123 9876 now", "nothing here"]
