@@ -7,7 +7,8 @@ host's pages outside articles are concatenated, a suffix array over them finds
 runs of ``GRAM`` or more tokens that stand on several distinct pages, covered
 tokens are removed and unique runs are kept.
 
-A host may be large, so suffix arrays are built over bounded chunks of its pages.
+A host may be large, so suffix arrays are built over bounded chunks of its distinct
+streams; equal streams are made one over the whole table first.
 Each chunk reports every distinct ``GRAM``-token prefix class of its array with
 the number of pages that hold it, and the counts of a host's chunks are added with
 partial aggregation: the result is that of one array over the whole host.
@@ -107,27 +108,35 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[list[str]], list[int]]]:
-    """(host, streams, stream hashes) in chunks of bounded size."""
-    held: dict[str, tuple[list, list]] = {}
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Host and stream of each page with a gram; tokens hold no blanks."""
+    for batch in batches:
+        hosts, streams = [], []
+        for _, url, page in _pages(iter([batch])):
+            _, stream = _stream(blocks(page or ""))
+            if len(stream) >= GRAM:
+                hosts.append(host_of(url))
+                streams.append(" ".join(stream))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(streams, pa.string())], ["host", "stream"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[list[str]]]]:
+    """(host, streams) in chunks of bounded size."""
+    held: dict[str, list] = {}
     size = 0
-    for _, url, page in _pages(batches):
-        _, stream = _stream(blocks(page or ""))
-        if len(stream) >= GRAM:
-            streams, keys = held.setdefault(host_of(url), ([], []))
-            streams.append(stream)
-            keys.append(gram_key(stream))
+    for batch in batches:
+        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            stream = text.split(" ")
+            held.setdefault(host, []).append(stream)
             size += len(stream)
-        if size >= CHUNK_TOKENS:
-            yield from ((h, *x) for h, x in held.items())
-            held, size = {}, 0
-    yield from ((h, *x) for h, x in held.items())
+            if size >= CHUNK_TOKENS:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for host, streams, keys in _chunks(batches):
-        distinct = {k: s for k, s in zip(keys, streams)}
-        streams = list(distinct.values())
+    for host, streams in _chunks(batches):
         rows = repeated(streams)
         if rows:
             texts = [gram_key(streams[p][s : s + GRAM]) for p, s, _ in rows]
@@ -197,7 +206,9 @@ def extract(pages: DataFrame, *, min_pages: int = MIN_PAGES) -> DataFrame:
     rows = pages.select("page_id", "url", "html")
     kind = rows.schema["page_id"].dataType.simpleString()
     out = f"page_id {kind}, url string, text string"
-    grams = rows.mapInArrow(_grams, "host string, gram long, pages long")
+    # Equal streams of a host meet here, wherever their pages stand.
+    streams = rows.mapInArrow(_streams, "host string, stream string").distinct()
+    grams = streams.mapInArrow(_grams, "host string, gram long, pages long")
     removable = grams.groupBy("host", "gram").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= min_pages).select("host", "gram")
     other = rows.mapInArrow(_unmarked, f"page_id {kind}, url string, host string, key long, tokens array<string>, kept array<struct<start:int,end:int>>, grams array<long>")
     places = other.dropDuplicates(["key"]).select("host", "key", F.posexplode("grams").alias("place", "gram")).join(removable, ["host", "gram"]).groupBy("key").agg(F.collect_list("place").alias("places"))

@@ -194,6 +194,16 @@ def test_html_blocks_and_extraction(spark):
     assert got == [(1, "Head a&bc d e"), (2, ""), (3, "w3 text 3"), (4, "w4 text 4"), (5, "w5 text 5"), (6, "w6 text 6"), (6, "w6 text 6"), (7, shared)]
 
 
+def test_copies_of_unmarked_pages_count_once_in_any_partitioning(spark):
+    text = "a page without an article whose exact copies stand at many places of a host"
+    shared = "this very long notice stands on each of the pages here"
+    rows = [(k, "http://h/same", f"<div>{text}</div>") for k in range(8)] + [(k, f"http://h/{k}", f"<div>{shared}</div><div>w{k} text</div>") for k in range(8, 12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (1, 12):
+        got = {r.page_id: r.text for r in html_extract.extract(pages.repartition(parts)).collect()}
+        assert got == {k: text if k < 8 else f"w{k} text" for k in range(12)}
+
+
 def test_suffix_array_grams_against_counting():
     rng = random.Random(5)
     streams = [[rng.choice("ab") for _ in range(40)] for _ in range(5)]
