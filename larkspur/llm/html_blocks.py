@@ -2,6 +2,12 @@
 
 A tolerant scanner: unclosed and misnested tags, truncated pages and damaged
 character references are read as browsers read them, as far as text goes.
+
+Elements that only their class or id, or being a form, marks as furniture are not
+furniture if they are or hold an article: pages wrap articles in "sidebar" and in
+forms.  Navigation, asides, hidden elements and the like are furniture whatever
+they hold.  A class or id counts as a whole: "cookie-banner" is made of furniture
+words alone, "has-sidebar" and "no-comments" are not.
 """
 
 from __future__ import annotations
@@ -25,8 +31,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: An open element of these kinds ends where the next block of its kind begins.
 _IMPLIED = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 #: Elements, roles and words of class names that mark page furniture.
-_FURNITURE = frozenset("nav aside footer form menu dialog button".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
+_FURNITURE = frozenset("nav aside footer menu dialog button".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal newsletter subscribe subscription share sharing social sidebar sidenav menu navbar nav navigation breadcrumb breadcrumbs comment comments commentlist disqus respond replies related recommended pagination pager widget footer masthead toolbar skip".split()
 )
@@ -40,16 +46,26 @@ class Block:
     furniture: bool
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool]:
-    """(furniture, main) of an opening tag."""
-    furniture, main = name in _FURNITURE, name in ("article", "main")
+def _named(names: str) -> bool:
+    """Whether a class or id is made of furniture words, numbers aside."""
+    for name in names.split():
+        parts = [p for p in _PART.findall(name) if not p.isdigit()]
+        if parts and _WORDS.issuperset(parts):
+            return True
+    return False
+
+
+def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    """(furniture, furniture unless it holds an article, main) of an opening tag."""
+    furniture, likely, main = name in _FURNITURE, name == "form", name in ("article", "main")
     if "=" in attrs:
         for key, value in _ATTRIBUTE.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                furniture |= name not in ("html", "body", "main") and not _WORDS.isdisjoint(_PART.findall(value))
+                likely |= name not in ("html", "body") and _named(value)
             elif key == "role":
                 furniture |= value in _ROLES
+                likely |= value == "form"
                 main |= value in ("main", "article")
             elif key == "itemprop":
                 main |= value == "articlebody"
@@ -57,22 +73,34 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool]:
                 furniture |= value == "true"
     if re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", attrs, re.I):
         furniture = True
-    return furniture, main and not furniture
+    main = main and not furniture
+    return furniture, likely and not main, main
+
+
+def _settled(marked: list[list]) -> tuple[list[bool], list[bool]]:
+    """Whether each marked element lies in furniture, and in an article."""
+    inside, article = [False], [False]
+    for parent, furniture, likely, main, outer, _ in marked[1:]:
+        inside.append(inside[parent] or furniture or likely or (outer and not article[parent]))
+        article.append(article[parent] or (main and not inside[-1]))
+    return inside, article
 
 
 def blocks(page: str) -> list[Block]:
     """Non-empty blocks with white space collapsed to single spaces."""
-    out: list[Block] = []
+    out: list[tuple[str, int]] = []
     text: list[str] = []
-    # Open elements: name, furniture depth and main depth after opening it.
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    # Marked elements: the marked element around it, its marks, whether it is a
+    # header, whether it is or holds an article.
+    marked: list[list] = [[0, False, False, False, False, False]]
+    # Open elements: name, and the innermost marked element.
+    stack: list[tuple[str, int]] = [("", 0)]
 
     def flush() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                _, furniture, main = stack[-1]
-                out.append(Block(" ".join(words), main > 0, furniture > 0))
+                out.append((" ".join(words), stack[-1][1]))
             text.clear()
 
     at = 0
@@ -88,7 +116,7 @@ def blocks(page: str) -> list[Block]:
         if token["end"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
-                    if any(stack[i][1:] != stack[k - 1][1:] for i in range(k, len(stack))):
+                    if stack[-1][1] != stack[k - 1][1]:
                         flush()
                     del stack[k:]
                     break
@@ -97,13 +125,18 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if name in _VOID or (token["attrs"] or "").endswith("/"):
             continue
-        furniture, main = _marks(name, token["attrs"] or "")
-        _, f, m = stack[-1]
-        if name in _OUTER and not m:
-            furniture = True
-        if furniture or main:
+        furniture, likely, main = _marks(name, token["attrs"] or "")
+        at_mark, outer = stack[-1][1], name in _OUTER and not main
+        if furniture or likely or main or outer:
             flush()
-        stack.append((name, f + furniture, m + (main and not f)))
+            k = at_mark
+            while main and k and not marked[k][1] and not marked[k][5]:
+                marked[k][2], marked[k][5] = False, True
+                k = marked[k][0]
+            marked.append([at_mark, furniture, likely, main, outer, main])
+            at_mark = len(marked) - 1
+        stack.append((name, at_mark))
     text.append(page[at:])
     flush()
-    return out
+    inside, article = _settled(marked)
+    return [Block(words, article[k], inside[k]) for words, k in out]

@@ -194,6 +194,13 @@ def test_html_blocks_and_extraction(spark):
     assert got == [(1, "Head a&bc d e"), (2, ""), (3, "w3 text 3"), (4, "w4 text 4"), (5, "w5 text 5"), (6, "w6 text 6"), (6, "w6 text 6"), (7, shared)]
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class=no-comments", "div id='nav-fixed'", "div class='post share-enabled'", "div class=sidebar", "form action='/'", "section class='widget'><div class='nav menu'"])
+def test_articles_in_wrappers_named_like_furniture(wrapper):
+    page = f"<{wrapper}><nav>n</nav><article class='post has-comments'><header>Head</header><p>body</p><div class='ad'>buy</div><div id='ad-2' class=x>b</div><form>f</form><div class='share cookie-banner'>s</div></article><aside><article>other</article></aside></div>"
+    assert [b.text for b in blocks(page) if b.main and not b.furniture] == ["Head", "body"]
+    assert [b.text for b in blocks("<article class='comments'>a</article><div class='sidebar'>b</div><main class='widget'>c</main><article hidden>d</article>") if b.main and not b.furniture] == ["a", "c"]
+
+
 def test_copies_of_unmarked_pages_count_once_in_any_partitioning(spark):
     text = "a page without an article whose exact copies stand at many places of a host"
     shared = "this very long notice stands on each of the pages here"
