@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample and indexes every row.  A query walks it
 best bin first: a priority queue holds subtrees by the distance of their centre,
 the nearest is popped and descended, its siblings are queued.  Leaf visits are
 widened until the recall of a set of check queries, searched exactly over all
-rows, reaches the target; with every leaf visited the search is exact.
+rows, reaches the target; with every leaf visited the search is exact.  A query
+whose leaves hold too few distinct ids visits more of them.
 
 Inner products of vectors of unequal length are reduced to distances by one added
 coordinate that makes all lengths equal.  Leaves are cut into blocks by a hash of
@@ -71,11 +72,11 @@ class Tree:
                 todo += [(int(kids[k]), rows[near == k]) for k in range(len(kids))]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first; more until ``sizes`` adds up to ``least`` rows."""
         point = np.append(query, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held < least):
             _, node = heapq.heappop(queue)
             while len(self.children[node]):
                 kids = self.children[node]
@@ -86,6 +87,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[k]), int(kid)))
                 node = int(kids[best])
             out.append(self.leaf[node])
+            held += (sizes or {}).get(self.leaf[node], 0)
         return out
 
 
@@ -261,7 +263,17 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
     # One short row a leaf; leaves are at most max_leaves.
     counts = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}
     visits = _calibrated(index, tree, check, truth, k, target)
-    return _run(index, queries, tree, visits, counts, -(-queries.count() // block), k, block)
+    found = scratch.cut(_run(index, queries, tree, visits, counts, -(-queries.count() // block), k, block))
+    while visits < tree.leaves:
+        # Repeated ids may fill the visited leaves: such queries ask more of them.
+        short = scratch.cut(queries.join(found.filter(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti"))
+        n = short.count()
+        if not n:
+            break
+        visits = min(tree.leaves, 4 * visits)
+        again = scratch.cut(_run(index, short, tree, visits, counts, -(-n // block), k, block))
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    return found
 
 
 def _calibrated(index: DataFrame, tree: Tree, check, truth: dict[int, list[int]], k: int, target: float) -> int:
@@ -282,7 +294,10 @@ def _calibrated(index: DataFrame, tree: Tree, check, truth: dict[int, list[int]]
 
 
 def _run(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, counts: dict[int, int], shares: int, k: int, block: int) -> DataFrame:
-    """Each tile joins one block of a leaf with one share of the queries."""
+    """Each tile joins one block of a leaf with one share of the queries.
+
+    A query visits ``visits`` leaves, and more until they hold k rows beside itself.
+    """
     shared = index.sparkSession.sparkContext.broadcast((tree, counts))
 
     def asked(batches):
@@ -291,7 +306,7 @@ def _run(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, counts:
             vectors = _unpacked(batch.column(1)) if batch.num_rows else []
             ids, vecs, leaves, parts = [], [], [], []
             for q, vector in zip(batch.column(0).to_pylist(), vectors):
-                for leaf in known.visits(vector, visits):
+                for leaf in known.visits(vector, visits, sizes, k + 1):
                     for part in range(-(-sizes.get(leaf, 0) // block)):
                         ids.append(q), vecs.append(vector), leaves.append(leaf), parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.list_(pa.float64())), pa.array(leaves, pa.int32()), pa.array(parts, pa.int32())], ["id", "vec", "leaf", "part"])

@@ -253,6 +253,20 @@ def test_nearest_recall_ties_and_odd_vectors(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_finds_enough_beyond_small_leaves(spark):
+    rng = np.random.default_rng(4)
+    # Tight clusters that fill their leaves, one of a repeated id, and one row far out.
+    middles = rng.normal(size=(40, 6)) * 30
+    vectors = np.concatenate([m + rng.normal(size=(15, 6)) * 0.01 for m in middles])
+    vectors[0] = 40 * np.ones(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(700, (1000 * np.eye(6)[0] + rng.normal(size=6) * 0.01).tolist()) for _ in range(60)]
+    got: dict = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, target=0.0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == {*range(0, 600, 20), 700}
+    assert all(len(found) == len(set(found)) == 20 and q not in found for q, found in got.items())
+
+
 def test_quality_separates_held_out_rows(spark):
     path = "/root/testdata/sf0.01"
     rows = queries.op2_quality(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").filter("held_out").collect()
