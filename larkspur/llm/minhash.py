@@ -209,7 +209,7 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, bits) -> Iterator[pa.Rec
         for at in range(0, len(wanted), 1000):
             rows = pa.array(wanted[at : at + 1000])
             items = [shingles(x, size) for x in binary_texts(batch.column(1).take(rows))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([fingerprint(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["id", "print", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([fingerprint(x) for x in items], pa.binary()), pa.array([x.tobytes() for x in items], pa.binary())], ["doc", "print", "items"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -253,13 +253,13 @@ def tile_links(ids: np.ndarray, labels: np.ndarray, signatures: np.ndarray, item
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """id, items of the wanted representatives (id, print).
+    """id, items of the wanted representatives (id, doc, print).
 
     A fixed-size bit filter lets one pass over the texts build sets for the wanted
     documents and few others; a join then keeps exactly the wanted ones.
     """
     spark = docs.sparkSession
-    places = wanted.select(F.expr(f"xxhash64(id) & {(1 << FILTER_BITS) - 1}L").alias("h"))
+    places = wanted.select(F.expr(f"xxhash64(doc) & {(1 << FILTER_BITS) - 1}L").alias("h"))
     words = places.groupBy(F.expr("h div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63L as int)))").alias("bits"))
     held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     found = words.toArrow()
@@ -269,8 +269,8 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def task(batches):
         return _sets(batches, size, bits)
 
-    sets = docs.select("id", "text", F.xxhash64("id").alias("h")).filter("id is not null").mapInArrow(task, "id long, print binary, items binary")
-    return scratch.cut(wanted.join(sets, ["id", "print"]).dropDuplicates(["id"]).select("id", "items"))
+    sets = docs.select("id", "text", F.xxhash64("id").alias("h")).filter("id is not null").mapInArrow(task, "doc long, print binary, items binary")
+    return scratch.cut(wanted.join(sets, ["doc", "print"]).dropDuplicates(["id"]).select("id", "items"))
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -299,12 +299,21 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     usable = signatures.filter("id is not null and n > 0")
     classes = usable.groupBy("print").agg(F.min("id").alias("rep"))
     # Representatives: the join key holds the id, so a class of many copies is spread.
-    reps = scratch.cut(usable.join(classes.select(F.col("print").alias("p"), F.col("rep")), (F.col("print") == F.col("p")) & (F.col("id") == F.col("rep"))).select("id", "print", "signature").dropDuplicates(["print", "id"]))
-    # Ids of rows with several texts; their least fingerprint stands for them.
-    several = scratch.cut(usable.groupBy("id").agg(F.min("print").alias("least"), F.max("print").alias("most")).filter("least <> most"))
+    # ``id`` names the class, ``doc`` is its smallest document id.
+    reps = scratch.cut(usable.join(classes.select(F.col("print").alias("p"), F.col("rep")), (F.col("print") == F.col("p")) & (F.col("id") == F.col("rep"))).select("id", F.col("id").alias("doc"), "print", "signature").dropDuplicates(["print", "id"]))
+    # Ids of rows with several texts may be the smallest of several classes; classes
+    # then get numbers of their own, and links are named by document for components.
+    several = scratch.cut(usable.groupBy("id").agg(F.min("print").alias("least"), F.max("print").alias("most")).filter("least <> most").select("id"))
     torn = not several.isEmpty()
     if torn:
-        reps = scratch.cut(reps.join(several, "id", "left").filter("least is null or least = print").select("id", "print", "signature"))
+        reps = scratch.cut(reps.select(F.monotonically_increasing_id().alias("id"), "doc", "print", "signature"))
+
+    def by_document(edges: DataFrame) -> DataFrame:
+        if not torn:
+            return edges
+        u, v = (reps.select(F.col("id").alias(f"class_{x}"), F.col("doc").alias(f"doc_{x}")) for x in "uv")
+        return edges.join(u, F.col("u") == F.col("class_u")).join(v, F.col("v") == F.col("class_v")).select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v"))
+
     spread = reps.select("id", "signature").mapInArrow(banded, "key long, id long")
     stars = spread.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).filter("hub <> far").select(F.col("key").alias("k"), "hub")
     shared = scratch.cut(spread.join(stars, F.col("key") == F.col("k")).select("key", "hub", "id"))
@@ -315,15 +324,19 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     # Bands with two members or fewer are settled by their star.
     crowded = shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 2").select("key")
     wanted = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).unionByName(shared.join(crowded, "key", "left_semi").select("id")).distinct()
-    sets = _candidate_sets(docs, reps.select("id", "print").join(wanted, "id", "left_semi"), shingle)
+    sets = _candidate_sets(docs, reps.select("id", "doc", "print").join(wanted, "id", "left_semi"), shingle)
     side = sets.select(F.col("id").alias("s"), "items")
     texts = likely.join(side, F.col("u") == F.col("s")).select("u", "v", F.col("items").alias("a")).join(side, F.col("v") == F.col("s")).select("u", "v", "a", F.col("items").alias("b"))
-    links = scratch.cut(texts.mapInArrow(verified, "u long, v long"))
+    links = by_document(scratch.cut(texts.mapInArrow(verified, "u long, v long")))
     if torn:
         links = links.unionByName(usable.join(several, "id", "left_semi").join(classes, "print").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct())
     first = scratch.cut(components(links))
-    more = _rest(shared, crowded, first, reps, sets, rows, bands, percent, steps)
-    final = components(links.unionByName(more)) if not more.isEmpty() else first
+    labels = first
+    if torn:
+        by_doc = first.select(F.col("node").alias("d"), "component")
+        labels = reps.join(by_doc, F.col("doc") == F.col("d"), "left").select(F.col("id").alias("node"), F.coalesce("component", "doc").alias("component"))
+    more = _rest(shared, crowded, labels, reps, sets, rows, bands, percent, steps)
+    final = components(links.unionByName(by_document(more))) if not more.isEmpty() else first
     named = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
     joined = signatures.select("id", "n", "print").join(named, "print", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))

@@ -89,6 +89,16 @@ def test_rows_that_share_an_id_share_links(spark):
     assert got == [(-1, -1, True), (5, 5, True), (5, 5, True), (7, 5, False), (7, 5, False), (9, 5, False)]
 
 
+def test_near_copies_of_a_class_whose_least_id_has_other_texts(spark):
+    a, b = prose(80, 1), prose(80, 2)
+    near = [[*x[:70], f"new{k}", *x[71:]] for k, x in enumerate((a, b))]
+    for x, y, y_near in ((a, b, near[1]), (b, a, near[0])):
+        rows = [(5, x), (5, y), (7, y), (9, y_near), (11, prose(80, 3)), (12, prose(80, 4)), (13, [*prose(80, 4), "end"])]
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+        assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (12, 12, True), (13, 12, False)]
+
+
 def test_least_matches_follow_the_posterior():
     steps = minhash.least_matches(0.85)
     assert [n for n, _ in steps] == [32, 64, 96, 128] and all(0.4 * n < m < 0.85 * n for n, m in steps)
