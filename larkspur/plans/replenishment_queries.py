@@ -289,6 +289,8 @@ QUERIES["batch_aggregate"] = lambda spark, d: R.batch_stock(V.batches(spark, d),
 SQL["batch_aggregate"] = f"WITH {_BATCH} SELECT supplier, sku, round(coalesce(sum(quantity) FILTER (good), 0), 6) AS current_stock, round(coalesce(sum(quantity) FILTER (NOT good), 0), 6) AS excluded, CAST(count(DISTINCT warehouse) FILTER (good) AS BIGINT) AS warehouses FROM ok GROUP BY ALL"
 QUERIES["batch_over_snapshot"] = lambda spark, d: R.batch_over_snapshot(R.batch_stock(V.batches(spark, d).filter("shelf_life_percent > 90"), 30.0), V.snapshot(V.series(spark, d))).select("supplier", "sku", F.round("current_stock", 6).alias("current_stock"))
 SQL["batch_over_snapshot"] = f"WITH {V.facts_sql()}, {_BATCH}, b AS (SELECT supplier, sku, coalesce(sum(quantity) FILTER (good), 0) AS current_stock FROM ok WHERE pct > 90 GROUP BY ALL) SELECT supplier, sku, round(current_stock, 6) AS current_stock FROM (SELECT * FROM b UNION ALL SELECT supplier, sku, current_stock FROM snapshot s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.supplier = s.supplier AND b.sku = s.sku))"
+QUERIES["batch_over_snapshot_all"] = lambda spark, d: R.batch_over_snapshot(R.batch_stock(V.batches(spark, d), 30.0), V.snapshot(V.series(spark, d))).select("supplier", "sku", F.round("current_stock", 6).alias("current_stock"))
+SQL["batch_over_snapshot_all"] = f"WITH {V.facts_sql()}, {_BATCH}, b AS (SELECT supplier, sku, coalesce(sum(quantity) FILTER (good), 0) AS current_stock FROM ok GROUP BY ALL) SELECT supplier, sku, round(current_stock, 6) AS current_stock FROM (SELECT * FROM b UNION ALL SELECT supplier, sku, current_stock FROM snapshot s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.supplier = s.supplier AND b.sku = s.sku))"
 QUERIES["last_wins_dim"] = lambda spark, d: R.last_wins(V.transactions(spark, d).select("supplier", "sku", "units_sold", "row_order"), "row_order").select("supplier", "sku", F.round("units_sold", 6).alias("units_sold"))
 SQL["last_wins_dim"] = f"WITH {V.facts_sql()} SELECT supplier, sku, round(units_sold, 6) AS units_sold FROM (SELECT *, row_number() OVER (PARTITION BY supplier, sku ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, units_sold DESC, l_partkey DESC) AS n FROM tx) WHERE n = 1"
 

@@ -67,3 +67,16 @@ def test_last_row_wins(spark):
 def test_options_are_checked():
     with pytest.raises(ValueError):
         R.Options(lead_time=0).validate()
+
+
+@pytest.mark.parametrize("name", ["batch_over_snapshot", "batch_over_snapshot_all"])
+def test_twins_of_batch_stock(spark, oracle, name):
+    test_twin(spark, oracle, name)
+
+
+def test_batch_stock_counts_every_batch_and_falls_back_to_snapshots(spark):
+    rows = [("a", "x", "w", 5.0, 95.0, False), ("a", "x", "w", 7.0, 40.0, False), ("a", "x", None, 1.0, None, False), ("a", "x", "v", 100.0, 10.0, False), ("a", "low", "w", 3.0, 50.0, False), ("a", "gone", "w", 9.0, 99.0, True)]
+    batches = spark.createDataFrame(rows, "supplier string, sku string, warehouse string, quantity double, shelf_life_percent double, expired boolean")
+    snapshot = spark.createDataFrame([("a", sku, 1000.0) for sku in ("x", "low", "gone", "rest")], "supplier string, sku string, current_stock double")
+    got = {r.sku: r.current_stock for r in R.batch_over_snapshot(R.batch_stock(batches, 30.0), snapshot).collect()}
+    assert got == {"x": 13.0, "low": 3.0, "gone": 0.0, "rest": 1000.0}
