@@ -21,9 +21,23 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Of rows that share a document id one is kept, with the longest text, then the
+    smallest.  Rows without an id are linked with nothing; of those with equal texts
+    one is kept.
+    """
     dropped = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    # Ids on several rows, null among them; texts are grouped for these only.
+    again = scratch.cut(docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id"))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    order = F.struct(-F.coalesce(F.char_length("text"), F.lit(0)).alias("_shorter"), *[F.col(c) for c in ["text", *[c for c in docs.columns if c != "text"]]])
+    alone = F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    first = kept.join(again, same, "left_semi").groupBy("doc_id", alone.alias("_text")).agg(F.min(order).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    return kept.join(again, same, "left_anti").unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,17 @@ def test_near_copies_of_a_class_whose_least_id_has_other_texts(spark):
         assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (11, 11, True), (12, 12, True), (13, 12, False)]
 
 
+def test_dedup_keeps_one_row_of_repeated_and_of_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(prose(60, k)) for k in range(3))
+    rows = [(5, a), (5, a), (5, a + " end"), (7, a), (8, b), (None, a), (None, a), (None, c), (None, None), (None, ""), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted([(5, a + " end"), (8, b), (-1, a), (-1, c), (-1, ""), (9, "")])
+
+
 def test_least_matches_follow_the_posterior():
     steps = minhash.least_matches(0.85)
     assert [n for n, _ in steps] == [32, 64, 96, 128] and all(0.4 * n < m < 0.85 * n for n, m in steps)
