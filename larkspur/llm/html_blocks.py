@@ -8,6 +8,10 @@ furniture if they are or hold an article: pages wrap articles in "sidebar" and i
 forms.  Navigation, asides, hidden elements and the like are furniture whatever
 they hold.  A class or id counts as a whole: "cookie-banner" is made of furniture
 words alone, "has-sidebar" and "no-comments" are not.
+
+A block is boxed if a block element with a class or id stands around it, inside of
+the article where there is one, and holds less than half of the text there: such
+boxes are either text or furniture, which the names alone do not tell.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ class Block:
     text: str
     main: bool
     furniture: bool
+    boxed: bool = False
 
 
 def _named(names: str) -> bool:
@@ -55,13 +60,15 @@ def _named(names: str) -> bool:
     return False
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(furniture, furniture unless it holds an article, main) of an opening tag."""
+def _marks(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """(furniture, furniture unless it holds an article, main, boxed) of an opening tag."""
     furniture, likely, main = name in _FURNITURE, name == "form", name in ("article", "main")
+    boxed = False
     if "=" in attrs:
         for key, value in _ATTRIBUTE.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
+                boxed = True
                 likely |= name not in ("html", "body") and _named(value)
             elif key == "role":
                 furniture |= value in _ROLES
@@ -74,16 +81,27 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool, bool]:
     if re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", attrs, re.I):
         furniture = True
     main = main and not furniture
-    return furniture, likely and not main, main
+    return furniture, likely and not main, main, boxed and not main and name in _BLOCK and name != "body"
 
 
-def _settled(marked: list[list]) -> tuple[list[bool], list[bool]]:
-    """Whether each marked element lies in furniture, and in an article."""
-    inside, article = [False], [False]
-    for parent, furniture, likely, main, outer, _ in marked[1:]:
+def _settled(marked: list[list], out: list[tuple[str, int]]) -> tuple[list[bool], list[bool], list[bool]]:
+    """Whether each marked element lies in furniture, in an article, in a box."""
+    inside, article, boxes = [False], [False], [False]
+    for parent, furniture, likely, main, outer, *_ in marked[1:]:
         inside.append(inside[parent] or furniture or likely or (outer and not article[parent]))
         article.append(article[parent] or (main and not inside[-1]))
-    return inside, article
+    size = [0] * len(marked)
+    some = any(article[k] for _, k in out)
+    for words, k in out:
+        if not inside[k] and article[k] == some:
+            size[k] += len(words)
+    for k in range(len(marked) - 1, 0, -1):
+        size[marked[k][0]] += size[k]
+    for k in range(1, len(marked)):
+        parent = marked[k][0]
+        # A box counts from the outermost article on.
+        boxes.append((marked[k][6] and 2 * size[k] < size[0]) or (boxes[parent] and article[parent] == article[k]))
+    return inside, article, boxes
 
 
 def blocks(page: str) -> list[Block]:
@@ -91,8 +109,8 @@ def blocks(page: str) -> list[Block]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     # Marked elements: the marked element around it, its marks, whether it is a
-    # header, whether it is or holds an article.
-    marked: list[list] = [[0, False, False, False, False, False]]
+    # header, whether it is or holds an article, whether it is a box.
+    marked: list[list] = [[0, False, False, False, False, False, False]]
     # Open elements: name, and the innermost marked element.
     stack: list[tuple[str, int]] = [("", 0)]
 
@@ -125,18 +143,18 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if name in _VOID or (token["attrs"] or "").endswith("/"):
             continue
-        furniture, likely, main = _marks(name, token["attrs"] or "")
+        furniture, likely, main, boxed = _marks(name, token["attrs"] or "")
         at_mark, outer = stack[-1][1], name in _OUTER and not main
-        if furniture or likely or main or outer:
+        if furniture or likely or main or outer or boxed:
             flush()
             k = at_mark
             while main and k and not marked[k][1] and not marked[k][5]:
                 marked[k][2], marked[k][5] = False, True
                 k = marked[k][0]
-            marked.append([at_mark, furniture, likely, main, outer, main])
+            marked.append([at_mark, furniture, likely, main, outer, main, boxed])
             at_mark = len(marked) - 1
         stack.append((name, at_mark))
     text.append(page[at:])
     flush()
-    inside, article = _settled(marked)
-    return [Block(words, article[k], inside[k]) for words, k in out]
+    inside, article, boxes = _settled(marked, out)
+    return [Block(words, article[k], inside[k], boxes[k]) for words, k in out]
