@@ -5,27 +5,34 @@ Everything is built from DataFrame functions.
 1. Base identifiers (email, ip, card, phone) are found with regular expressions
    and checked (number ranges, digit counts, Luhn).  Positions come from splitting
    the text by the same expression: pieces and matches alternate.
-2. Identifier-like tokens that are no base identifier are candidates.  Base
+2. Identifier-like tokens outside of base identifiers are candidates.  Base
    identifiers are the seed instances.
-3. The words to the left of an instance form lexical patterns.  Patterns and
-   instances make a bipartite graph whose scores are propagated for ``ROUNDS``
-   rounds: a pattern scores by the mean confidence of its instances, an instance
-   by the noisy-or of its patterns; seeds keep confidence 1.
+3. The words to the left and to the right of an instance form lexical patterns.
+   Patterns and instances make a bipartite graph whose scores are propagated for
+   ``ROUNDS`` rounds: a pattern scores by the mean confidence of its instances, an
+   instance by the noisy-or of its patterns; seeds keep confidence 1.
 4. Patterns above ``ACCEPT`` with at least ``SUPPORT`` distinct seeds discover the
    candidates that stand in them and have the shape of the pattern's kind.
+5. What they discover seeds the next turn: 3 and 4 are repeated until a turn
+   discovers nothing new.
 
 Regular expressions use possessive runs and start only where a run starts or the
 last match ended, so that matching is linear in the text and keeps the leftmost
-non-overlapping matches of the plain expressions.
+non-overlapping matches of the plain expressions.  Sequences over the matches of
+one text are built in chunks, so a text of very many matches costs little more
+than its length.
 
 Defined results: null text counts as empty; a row with a null id is reported by
 itself; rows that repeat an id are each reported; ties in confidence do not
-matter, as thresholds alone decide; an empty table gives no rows; other columns
-are ignored.
+matter, as thresholds alone decide; a candidate may be discovered as several
+kinds and then has a span of each; an empty table gives no rows; ``find`` ignores
+other columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,10 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 ACCEPT = 0.9
 SUPPORT = 5
+#: Shares that the rows of one pattern or instance are dealt into.
+SHARES = 16
+#: Items of one chunk of a sequence.
+CHUNK = 256
 
 #: Equal in matches to the plain expressions, but linear on long runs.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -44,9 +55,12 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Tokens that hold a digit, with digit groups after single spaces, or an address
 #: without a dotted domain.
-_CANDIDATE = r"(?<![\p{L}\p{N}@._+-])(?:[A-Za-z._+-]{0,40}+[0-9][A-Za-z0-9._+-]*+(?:\x20[(]?[0-9][0-9().-]*+)*+|[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9.-]*\.[A-Za-z0-9]))"
-#: Characters before an instance that its context is read from.
-_REACH = 48
+_CANDIDATE = r"(?<![\p{L}\p{N}@._+-])(?:[A-Za-z._+-]*+[0-9][A-Za-z0-9._+-]*+(?:\x20[(]?[0-9][0-9().-]*+)*+|[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?![A-Za-z0-9.-]*\.[A-Za-z0-9]))"
+#: Stands for a character of a base identifier where candidates are looked for.
+_TAKEN = "\ue000"
+
+_MATCH = "struct<start:bigint,end:bigint,value:string,left:string,right:string>"
+_SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 
 
 def _digits(text: Column) -> Column:
@@ -72,40 +86,99 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, expression: str, may: Column) -> Column:
-    """Matches in order: start, end (code points, end exclusive), value, left context."""
-    pieces = F.split(text, expression, -1)
-    values = F.regexp_extract_all(text, F.lit(f"({expression})"), F.lit(1))
-    pairs = F.arrays_zip(values.alias("value"), F.slice(pieces, 1, F.size(values)).alias("piece"))
-    empty = F.expr("named_struct('at', 0L, 'done', cast(array() as array<struct<start:bigint,end:bigint,value:string,left:string>>))")
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value evaluated once; lambdas evaluate anew for each item."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _chunks(items: Column) -> Column:
+    """Consecutive slices of at most ``CHUNK`` items; the items are not empty."""
+
+    def cut(xs: Column) -> Column:
+        last = F.floor((F.size(xs) - 1) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * CHUNK + 1, F.lit(CHUNK)))
+
+    return _let(items, cut)
+
+
+def _before_each(values: Column, add: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """What ``add`` makes of the values before each one, from 0 on.
+
+    A fold copies its state in each step, so states stay as short as a chunk; the
+    values before a chunk come from the same rule over the chunks.
+    """
+    zero = F.lit(0).cast("long")
+
+    def grown(part: Column, first: Column) -> Column:
+        more = F.aggregate(part, F.array(first), lambda done, x: F.concat(done, F.array(add(F.element_at(done, -1), x))))
+        return F.slice(more, F.lit(1), F.size(part))
+
+    if not levels:
+        return _let(values, lambda xs: grown(xs, zero))
+
+    def over(parts: Column) -> Column:
+        firsts = _before_each(F.transform(parts, lambda c: F.aggregate(c, zero, add)), add, levels - 1)
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), firsts.alias("first")), lambda z: grown(z["part"], z["first"])))
+
+    return _let(_chunks(values), over)
+
 
-    def step(so_far: Column, x: Column) -> Column:
-        start = so_far["at"] + F.char_length(x["piece"])
-        end = start + F.char_length(x["value"])
-        item = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["piece"], F.lit(_REACH)).alias("left"))
-        return F.struct(end.alias("at"), F.concat(so_far["done"], F.array(item)).alias("done"))
+def _found(df: DataFrame, text: str, out: str, expression: str, may: Column) -> DataFrame:
+    """``df`` with the matches in order: start, end (code points, end exclusive),
+    value, and the text between the neighbouring matches on either side."""
+    pieces, values = f"_pieces_{out}", f"_values_{out}"
+    df = df.withColumns(
+        {
+            values: F.when(may, F.regexp_extract_all(F.col(text), F.lit(f"({expression})"), F.lit(1))).otherwise(F.expr("cast(array() as array<string>)")),
+            pieces: F.when(may, F.split(F.col(text), expression, -1)).otherwise(F.array(F.lit(""))),
+        }
+    )
+    n = F.size(values)
+    pairs = F.arrays_zip(F.col(values).alias("value"), F.slice(pieces, F.lit(1), n).alias("left"), F.slice(pieces, F.lit(2), n).alias("right"))
+    lengths = F.transform(pairs, lambda x: (F.char_length(x["left"]) + F.char_length(x["value"])).cast("long"))
+    df = df.withColumns({f"_pairs_{out}": pairs, f"_at_{out}": F.when(n > 0, _before_each(lengths, lambda a, x: a + x))})
+
+    def match(z: Column) -> Column:
+        x = z["x"]
+        start = z["at"] + F.char_length(x["left"])
+        return F.struct(start.alias("start"), (start + F.char_length(x["value"])).alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
 
-    nothing = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,left:string>>)")
-    return F.when(may, F.aggregate(pairs, empty, step, lambda x: x["done"])).otherwise(nothing)
+    some = F.transform(F.arrays_zip(F.col(f"_pairs_{out}").alias("x"), F.col(f"_at_{out}").alias("at")), match)
+    return df.withColumn(out, F.when(n > 0, some).otherwise(F.expr(f"cast(array() as array<{_MATCH}>)"))).drop(values, pieces, f"_pairs_{out}", f"_at_{out}")
 
 
-def _ranked(text: Column, rank: int, kind: str, expression: str, may: Column) -> Column:
+def _ranked(matches: str, rank: int, kind: str) -> Column:
     """Counting matches of a kind, as structs that sort by start, then kind."""
-    matches = F.filter(_found(text, expression, may), lambda m: _holds(kind, m["value"]))
-    return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left")))
+    good = F.filter(matches, lambda m: _holds(kind, m["value"]))
+    return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), _patterns(m["left"], m["right"]).alias("patterns")))
+
+
+def _with_base(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``: start, rank, kind, end, value and patterns of the base
+    identifiers, by start, then kind.  Row-wise."""
+    body = F.col(text)
+    number = body.rlike("[0-9]")
+    expressions = {"email": (_EMAIL, body.contains("@")), "ip": (_IP, body.rlike(r"[0-9]\.[0-9]")), "card": (_CARD, number), "phone": (_PHONE, body.contains("+"))}
+    parts = []
+    for rank, kind in enumerate(KINDS):
+        df = _found(df, text, f"_{kind}", *expressions[kind])
+        parts.append(_ranked(f"_{kind}", rank, kind))
+    return df.withColumn(out, F.array_sort(F.concat(*parts))).drop(*[f"_{kind}" for kind in KINDS])
 
 
 def base_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, key, base (array of kind, rank, start, end, value, left) and candidates.
+    """id, key, base (array of start, rank, kind, end, value, patterns) and candidates.
 
     ``key`` names a row among others; rows equal in id and text share it.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    body = F.col("text")
-    number = body.rlike("[0-9]")
-    expressions = {"email": (_EMAIL, body.contains("@")), "ip": (_IP, body.rlike(r"[0-9]\.[0-9]")), "card": (_CARD, number), "phone": (_PHONE, body.contains("+"))}
-    all_kinds = [_ranked(body, rank, kind, *expressions[kind]) for rank, kind in enumerate(KINDS)]
-    return rows.select("id", row_key(F.col("id"), body).alias("key"), F.array_sort(F.concat(*all_kinds)).alias("base"), _found(body, _CANDIDATE, number | body.contains("@")).alias("candidates"))
+    rows = _with_base(rows.withColumn("key", row_key(F.col("id"), F.col("text"))), "text", "base")
+    # Base identifiers are no candidates, nor parts of any.
+    rows = rows.withColumn("text", F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), lambda s, fresh, n: F.repeat(F.lit(_TAKEN), n))).otherwise(F.col("text")))
+    rows = _found(rows, "text", "_candidates", _CANDIDATE, F.col("text").rlike("[0-9]") | F.col("text").contains("@"))
+    free = F.filter("_candidates", lambda c: (F.length(_digits(c["value"])) >= 5) | c["value"].contains("@"))
+    candidates = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), _patterns(c["left"], c["right"]).alias("patterns")))
+    return rows.select("id", "key", "base", candidates.alias("candidates"))
 
 
 def _norm(value: Column) -> Column:
@@ -127,55 +200,136 @@ def _shape(kind: Column, value: Column) -> Column:
     )
 
 
-def _patterns(left: Column) -> Column:
-    """Lexical patterns of a left context: its last word, and its last two, with signs."""
-    clean = F.lower(F.regexp_replace(left, r"\s+", " "))
-    one = F.regexp_extract(clean, r"([\p{L}\p{N}_]+[^\p{L}\p{N}_]{1,4})$", 1)
-    two = F.regexp_extract(clean, r"([\p{L}\p{N}_]+[^\p{L}\p{N}_]{1,4}[\p{L}\p{N}_]+[^\p{L}\p{N}_]{1,4})$", 1)
-    return F.array_distinct(F.filter(F.array(one, two), lambda p: p != ""))
+_WORD, _SIGNS = r"[\p{L}\p{N}_]++", r"[^\p{L}\p{N}_]"
+
+
+def _patterns(left: Column, right: Column) -> Column:
+    """Lexical patterns of a context, with signs: the last word on the left, the last
+    two, the last with the first on the right, and the first two on the right.
+
+    The left side is read backwards from the instance, so a long context costs no
+    more than the words that are used.
+    """
+    back = F.reverse(left)
+    one = F.regexp_extract(back, rf"\A({_SIGNS}+{_WORD})", 1)
+    two = F.regexp_extract(back, rf"\A({_SIGNS}+{_WORD}{_SIGNS}+{_WORD})", 1)
+    next_one = F.regexp_extract(right, rf"\A({_SIGNS}+{_WORD})", 1)
+    next_two = F.regexp_extract(right, rf"\A({_SIGNS}+{_WORD}{_SIGNS}+{_WORD})", 1)
+    named = [
+        F.when(one != "", F.concat(F.reverse(one), F.lit("*"))),
+        F.when(two != "", F.concat(F.reverse(two), F.lit("*"))),
+        F.when((one != "") & (next_one != ""), F.concat(F.reverse(one), F.lit("*"), next_one)),
+        F.when(next_two != "", F.concat(F.lit("*"), next_two)),
+    ]
+    return F.array_compact(F.array(*[F.lower(F.regexp_replace(p, r"\s+", " ")) for p in named]))
 
 
 def _occurrences(spans: DataFrame) -> DataFrame:
     """One row for each instance and pattern: key, kind (null for candidates), place, value."""
-    seeds = spans.select("key", F.explode("base").alias("x")).select("key", F.col("x.kind").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), F.col("x.left").alias("left"))
-    free = F.filter("candidates", lambda c: (F.length(_digits(c["value"])) >= 5) | c["value"].contains("@"))
-    apart = F.filter(free, lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    others = spans.select("key", F.explode(apart).alias("x")).select("key", F.lit(None).cast("string").alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), F.col("x.left").alias("left"))
-    every = seeds.unionByName(others)
-    return every.select("key", "kind", "start", "end", "value", _norm(F.col("value")).alias("instance"), F.explode(_patterns(F.col("left"))).alias("pattern"))
-
-
-def accepted_patterns(occurrences: DataFrame, *, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
-    """kind and pattern of high confidence, scored over the pattern-instance graph."""
-    seeds = occurrences.filter("kind is not null").select("pattern", "instance", "kind").distinct()
-    induced = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support)
-    # Edges: every distinct instance of an induced pattern, seed of the kind or not.
-    instances = occurrences.groupBy("pattern", "instance").agg(F.collect_set("kind").alias("kinds"))
-    edges = instances.join(induced, "pattern").select("kind", "pattern", "instance", F.array_contains("kinds", F.col("kind")).alias("seed"), "seeds")
-    edges = scratch.cut(edges)
-    confidence = edges.select("kind", "instance", "seed").groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("c"))
+
+    def of(column: str, kind: Column) -> DataFrame:
+        x = F.col("x")
+        return spans.select("key", F.explode(column).alias("x")).select("key", kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _norm(x["value"]).alias("instance"), F.explode(x["patterns"]).alias("pattern"))
+
+    return of("base", F.col("x.kind")).unionByName(of("candidates", F.lit(None).cast("string")))
+
+
+def _dealt(many: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Equi-join of a side with hot keys to one with a row a key, in ``SHARES`` shares."""
+    left = many.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
+    right = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return left.join(right, [*keys, "_share"]).drop("_share")
+
+
+def accepted_patterns(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
+    """kind and pattern of high confidence, scored over the pattern-instance graph.
+
+    ``edges``: distinct pattern and instance.  ``seeds``: distinct kind and instance.
+    """
+    seeded = edges.join(seeds, "instance").select("kind", "pattern", "instance")
+    induced = seeded.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support)
+    # Every distinct instance of an induced pattern, seed of the kind or not.
+    graph = _dealt(edges, induced, ["pattern"], "instance").join(seeds.withColumn("seed", F.lit(True)), ["kind", "instance"], "left")
+    graph = scratch.cut(graph.select("kind", "pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed")))
+    confidence = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("c"))
     patterns = None
     for _ in range(rounds):
-        patterns = edges.join(confidence, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.avg("c").alias("score"), F.max("seeds").alias("seeds"))
-        spread = edges.join(patterns.select("kind", "pattern", "score"), ["kind", "pattern"])
+        # Sums of shares first: a pattern may hold very many instances.
+        patterns = graph.join(confidence, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.avg("c").alias("score"))
+        spread = _dealt(graph, patterns, ["kind", "pattern"], "instance")
         doubt = F.exp(F.sum(F.ln(F.greatest(1 - F.col("score") * F.col("score"), F.lit(1e-12)))))
         confidence = scratch.cut(spread.groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("c")))
     return patterns.filter(F.col("score") >= accept).select("kind", "pattern")
 
 
-def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """id, base and spans of every row: structs of start, rank, kind and end in order."""
-    spans = scratch.cut(base_spans(docs, doc_id=doc_id, text=text))
+def discovered(spans: DataFrame, **options) -> DataFrame | None:
+    """key, start, kind and end of the candidates that accepted patterns discover.
+
+    Instances discovered in one turn are seeds of the next; the turns end when
+    nothing new is discovered, as instances are finite.  None if nothing ever is.
+    """
     occurrences = _occurrences(spans)
-    patterns = accepted_patterns(occurrences, **options)
-    found = occurrences.filter("kind is null").drop("kind").join(patterns, "pattern").filter(_shape(F.col("kind"), F.col("value")))
+    edges = scratch.cut(occurrences.select("pattern", "instance").distinct())
+    seeds = scratch.cut(occurrences.filter("kind is not null").select("kind", "instance").distinct())
+    free = occurrences.filter("kind is null").drop("kind")
+    candidates = scratch.cut(free.select("pattern", "instance", "value").distinct())
+    patterns, found = None, None
+    while True:
+        turn = accepted_patterns(edges, seeds, **options)
+        patterns = scratch.cut(turn if patterns is None else patterns.unionByName(turn).distinct())
+        shaped = _dealt(candidates, patterns, ["pattern"], "value").filter(_shape(F.col("kind"), F.col("value")))
+        new = scratch.cut(shaped.select("kind", "instance").distinct().join(seeds, ["kind", "instance"], "left_anti"))
+        if new.isEmpty():
+            break
+        found = True
+        seeds = scratch.cut(seeds.unionByName(new))
+    if not found:
+        # Values of known seeds may still stand in accepted patterns as candidates.
+        if _dealt(candidates, patterns, ["pattern"], "value").filter(_shape(F.col("kind"), F.col("value"))).isEmpty():
+            return None
+    hits = _dealt(free, patterns, ["pattern"], "key").filter(_shape(F.col("kind"), F.col("value")))
+    return hits.select("key", "start", "kind", "end").distinct()
+
+
+def _added(spans: DataFrame, **options) -> DataFrame | None:
+    """key and added (sorted spans) of the rows in which something was discovered."""
+    found = discovered(spans, **options)
+    if found is None:
+        return None
     ranks = F.create_map(*[F.lit(x) for rank, kind in enumerate(KINDS) for x in (kind, rank)])
-    span = F.struct("start", ranks[F.col("kind")].alias("rank"), "kind", "end")
-    added = found.select("key", span.alias("span")).groupBy("key").agg(F.collect_set("span").alias("added"))
-    narrow = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["kind"].alias("kind"), b["end"].alias("end")))
-    kept = spans.select("id", "key", narrow.alias("base")).join(added, "key", "left")
-    nothing = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)")
-    return kept.select("id", "key", "base", F.array_sort(F.concat("base", F.coalesce("added", nothing))).alias("spans"))
+    return found.groupBy("key").agg(F.collect_set(F.struct("start", ranks[F.col("kind")].alias("rank"), "kind", "end")).alias("added"))
+
+
+def _narrow(base: Column) -> Column:
+    return F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["rank"].alias("rank"), b["kind"].alias("kind"), b["end"].alias("end")))
+
+
+def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """id, key, base and spans of every row: structs of start, rank, kind and end in order."""
+    spans = scratch.cut(base_spans(docs, doc_id=doc_id, text=text))
+    added = _added(spans, **options)
+    kept = spans.select("id", "key", _narrow(F.col("base")).alias("base"))
+    if added is None:
+        return kept.withColumn("spans", F.col("base"))
+    nothing = F.expr(f"cast(array() as array<{_SPAN}>)")
+    joined = kept.join(added, "key", "left")
+    return joined.select("id", "key", "base", F.array_sort(F.concat("base", F.coalesce("added", nothing))).alias("spans"))
+
+
+def mask(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with each span of personal data replaced by its kind; null texts stay.
+
+    Base spans are found in the rows themselves; whole texts are joined to what was
+    discovered only if anything was.
+    """
+    added = _added(scratch.cut(base_spans(docs, doc_id=doc_id, text=text)), **options)
+    rows = _with_base(docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", "_base")
+    spans = _narrow(F.col("_base"))
+    if added is not None:
+        rows = rows.withColumn("_key", row_key(F.col(doc_id), F.col("_text"))).join(added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "_key", "left")
+        spans = F.array_sort(F.concat(spans, F.coalesce("_added", F.expr(f"cast(array() as array<{_SPAN}>)"))))
+    rows = rows.withColumn("_spans", spans)
+    return rows.withColumn(text, F.when(F.col(text).isNull() | (F.size("_spans") == 0), F.col(text)).otherwise(masked(F.col("_text"), F.col("_spans")))).select(*docs.columns)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -183,16 +337,33 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("\u0000", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))), 256)
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each span, or run of overlapping spans, replaced by its kind."""
-    start = F.expr("named_struct('at', 0L, 'out', cast(array() as array<string>))")
+def replaced(text: Column, spans: Column, mark: Callable[[Column, Column, Column], Column]) -> Column:
+    """``text`` with each of some spans replaced by ``mark`` of the span, whether it
+    starts behind the spans before it, and how many characters it covers beyond them.
+
+    Each chunk of spans cuts its stretch of the text once and counts from there.
+    """
+    reached = _before_each(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    chunks = _chunks(F.arrays_zip(spans.alias("s"), reached.alias("at")))
+    zero = F.lit(0).cast("long")
+
+    def part(chunk: Column) -> Column:
+        first = F.get(chunk, F.lit(0))["at"]
+        end = F.array_max(F.transform(chunk, lambda z: F.greatest(z["at"], z["s"]["end"])))
+        stretch = F.substring(text, (first + 1).cast("int"), (end - first).cast("int"))
+
+        def one(z: Column, window: Column) -> Column:
+            s, at = z["s"], z["at"]
+            before = F.substring(window, (at - first + 1).cast("int"), F.greatest(zero, s["start"] - at).cast("int"))
+            covered = F.greatest(zero, s["end"] - F.greatest(at, s["start"]))
+            return F.concat(before, mark(s, s["start"] >= at, covered.cast("int")))
+
+        return F.array_join(_let(stretch, lambda window: F.transform(chunk, lambda z: one(z, window))), "")
 
-    def step(so_far: Column, s: Column) -> Column:
-        fresh = s["start"] >= so_far["at"]
-        before = F.substring(text, (so_far["at"] + 1).cast("int"), (s["start"] - so_far["at"]).cast("int"))
-        mark = F.concat(F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), F.when(fresh, F.concat(so_far["out"], F.array(before, mark))).otherwise(so_far["out"]).alias("out"))
+    reach = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(F.array_join(F.transform(chunks, part), ""), F.substring(text, (reach + 1).cast("int"), F.lit(2147483647)))
 
-    rest = F.aggregate(spans, start, step)
-    tail = F.substring(text, (rest["at"] + 1).cast("int"), F.lit(2147483647))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(rest["out"], ""), tail))
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with each span, or run of overlapping spans, replaced by its kind."""
+    return F.when(F.size(spans) == 0, text).otherwise(replaced(text, spans, lambda s, fresh, _: F.when(fresh, F.concat(F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit(""))))

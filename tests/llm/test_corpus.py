@@ -3,7 +3,6 @@
 import hashlib
 import io
 import random
-import re
 import zlib
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import ann, decontaminate, html_extract, licenses, minhash, phrases, pii, quality, queries, scratch, sentencepiece_fst, tokenbin, warc
 from larkspur.llm.html_blocks import blocks
+from tests_llm_base import base_of
 
 DOCS = "doc_id long, text string, lang string, contamination string"
 
@@ -115,25 +115,6 @@ def test_least_matches_follow_the_posterior():
     assert [n for n, _ in steps] == [32, 64, 96, 128] and all(0.4 * n < m < 0.85 * n for n, m in steps)
 
 
-KINDS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    ("card", r"[0-9]([\x20-]?[0-9])+"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
-]
-
-
-def luhn(d):
-    return sum(c if i % 2 == 0 else c * 2 // 10 + c * 2 % 10 for i, c in enumerate(map(int, reversed(d)))) % 10 == 0
-
-
-def base_of(text):
-    digits = lambda v: re.sub("[^0-9]", "", v)
-    holds = {"email": lambda v: True, "ip": lambda v: all(int(x) <= 255 for x in v.split(".")), "card": lambda v: 12 <= len(digits(v)) <= 19 and luhn(digits(v)), "phone": lambda v: 9 <= len(digits(v)) <= 15}
-    found = [(m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(KINDS) for m in re.finditer(p, text or "") if holds[kind](m.group())]
-    return [(kind, a, b) for a, _, kind, b in sorted(found)]
-
-
 def test_base_identifiers_against_plain_expressions(spark):
     texts = ["a@b.c_d@e.f x..y@z.q. 1.2.3.4.5.6.7.8 999.1.1.1 É 4111 1111-1111 1111, +1 (017) 555-7713 ok", "😀 mail me@x.org+2 a@b", "0001.2.3.255 +12 +1 2345678.9 ", None, "", "7" * 3000 + "@", "a" * 20000, "4111111111111111" * 3, "+1 ....", "x@y-.z. ++1 234567890"]
     got = pii.find(frame(spark, texts)).collect()
