@@ -47,13 +47,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose personal data is replaced by its kind; n_chars follows."""
-    found = pii.find(docs).filter(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
-    keyed = docs.withColumn("_key", pii.row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(found, F.col("_key") == F.col("key"), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(pii.masked(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+    """Documents whose personal data is replaced by its kind; n_chars follows.
+
+    Every row is kept; a row without personal data, null texts among them, stays as
+    it is.
+    """
+    kept = docs.withColumn("_before", F.col("text"))
+    changed = pii.mask(kept)
+    n_chars = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
+    return changed.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
