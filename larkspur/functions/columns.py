@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value evaluated once, where a lambda would repeat it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over a group; 0 where either side is constant."""
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))

@@ -8,12 +8,13 @@ adaptive execution chooses broadcast or a split sort-merge join by measured size
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import DAYS_PER_MONTH, clamp, month_add, z_score
+from larkspur.functions.columns import DAYS_PER_MONTH, clamp, let, month_add, z_score
 
 KEY = ["supplier", "sku"]
 
@@ -59,14 +60,79 @@ def invoice_orders(transactions: DataFrame, as_of: str) -> DataFrame:
     return named.groupBy(*KEY, "month", "invoice").agg(F.sum("units_sold").alias("units"))
 
 
+def order_sizes(transactions: DataFrame, as_of: str) -> DataFrame:
+    """supplier, sku, month, units, n: how many orders of each size a month has.
+
+    An order is an invoice's rows of a SKU and month; a row without an invoice is an
+    order of its own.  Both shuffles are on keys finer than a series and aggregate
+    first, so a hot series is spread; what is left is small.
+    """
+    invoice = F.nullif(F.trim("invoice_number"), F.lit(""))
+    rows = transactions.filter(F.col("month") <= as_of).withColumns({"_invoice": invoice, "_row": F.when(invoice.isNull(), F.col("row_order"))})
+    orders = rows.groupBy(*KEY, "month", "_invoice", "_row").agg(F.sum("units_sold").alias("units"))
+    return counted_sizes(orders)
+
+
+def counted_sizes(orders: DataFrame) -> DataFrame:
+    return orders.groupBy(*KEY, "month", "units").agg(F.count(F.lit(1)).alias("n"))
+
+
+def judged_sizes(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with orders (positive ones of the series), mad and threshold.
+
+    Quartiles and the median deviation are interpolated between the values at their
+    ranks, found by running counts over the sorted sizes: sorts spill, and no buffer
+    holds the sizes of a series.
+    """
+    series_of = Window.partitionBy(*KEY)
+    running = Window.unboundedPreceding, Window.currentRow
+    df = sizes.withColumn("_k", F.when(F.col("units") > 0, F.col("n")).otherwise(0))
+    df = df.withColumns({"orders": F.sum("_k").over(series_of), "_upto": F.sum("_k").over(series_of.orderBy("units", "month").rowsBetween(*running))})
+
+    def at(value: str, upto: str, fraction: float) -> Column:
+        place = (F.col("orders") - 1) * fraction
+        low, high = (F.min(F.when((F.col("_k") > 0) & (F.col(upto) > rank), F.col(value))).over(series_of) for rank in (F.floor(place), F.ceil(place)))
+        return low + (high - low) * (place - F.floor(place))
+
+    df = df.withColumns({f"_q{k}": at("units", "_upto", k / 4) for k in (1, 2, 3)})
+    df = df.withColumn("_off", F.when(F.col("_k") > 0, F.abs(F.col("units") - F.col("_q2"))))
+    df = df.withColumn("_upto", F.sum("_k").over(series_of.orderBy(F.asc_nulls_last("_off"), "units", "month").rowsBetween(*running)))
+    df = df.withColumn("mad", at("_off", "_upto", 0.5))
+    bound = F.greatest(F.col("_q2") * 3, F.least(F.col("_q2") + F.col("mad") * (3 * 1.4826), F.col("_q3") + (F.col("_q3") - F.col("_q1")) * 1.5))
+    return df.withColumn("threshold", F.when(F.col("orders") < 4, F.lit(float("inf"))).otherwise(bound)).drop("_k", "_upto", "_off", "_q1", "_q2", "_q3")
+
+
 def spike_threshold(orders: DataFrame) -> DataFrame:
     """Robust bound of usual order sizes; infinite below four positive orders."""
-    positive = orders.filter("units > 0")
-    centre = positive.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(units, array(0.25, 0.5, 0.75))").alias("q"))
-    spread = positive.join(centre, KEY).groupBy(*KEY).agg(F.first("n").alias("n"), F.first("q").alias("q"), F.median(F.abs(F.col("units") - F.col("q")[1])).alias("mad"))
-    q = F.col("q")
-    bound = F.greatest(q[1] * 3, F.least(q[1] + F.col("mad") * (3 * 1.4826), q[2] + (q[2] - q[0]) * 1.5))
-    return spread.select(*KEY, "n", "mad", F.when(F.col("n") < 4, F.lit(float("inf"))).otherwise(bound).alias("threshold"))
+    judged = judged_sizes(counted_sizes(orders)).filter("orders > 0")
+    return judged.groupBy(*KEY).agg(F.max("orders").alias("n"), F.max("mad").alias("mad"), F.max("threshold").alias("threshold"))
+
+
+def month_rows(judged: DataFrame, as_of: str) -> DataFrame:
+    """One row for each series: ``m`` (its months in order, with what was sold and
+    what of it stays as demand), one_off, retained and spike_units.
+
+    A series has one entry a calendar month, so the array is bounded by the years of
+    history.  Large orders in two or more recent months are growth and stay.
+    """
+    since = F.date_format(F.add_months(F.to_date(F.lit(f"{as_of}-01")), -2), "yyyy-MM")
+    large = F.col("units") > F.col("threshold")
+    months = judged.groupBy(*KEY, "month").agg(F.sum(F.col("units") * F.col("n")).alias("sold"), F.coalesce(F.sum(F.when(large, F.col("units") * F.col("n"))), F.lit(0.0)).alias("large"), F.coalesce(F.sum(F.when(large, F.col("n"))), F.lit(0)).alias("spikes"))
+    rows = months.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("month", "sold", "large", "spikes"))).alias("_m"))
+    recent = F.size(F.filter("_m", lambda x: (x["month"] >= since) & (x["spikes"] > 0))) >= 2
+    rows = rows.withColumn("_m", let(recent, lambda known: F.transform("_m", lambda x: F.struct(x["month"].alias("month"), x["sold"].alias("sold"), x["large"].alias("large"), x["spikes"].alias("spikes"), (known & (x["month"] >= since)).alias("growth")))))
+
+    def total(of: Callable[[Column], Column], zero: Column) -> Column:
+        return F.aggregate("_m", zero, lambda a, x: a + of(x))
+
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        *KEY,
+        F.transform("_m", lambda x: F.struct(x["month"].alias("month"), x["sold"].alias("sold"), F.greatest(F.lit(0.0), x["sold"] - F.when(x["growth"], 0.0).otherwise(x["large"])).alias("units"))).alias("m"),
+        total(lambda x: F.when(x["growth"], zero).otherwise(x["spikes"]), zero).alias("one_off"),
+        total(lambda x: F.when(x["growth"], x["spikes"]).otherwise(zero), zero).alias("retained"),
+        total(lambda x: F.when(x["growth"], 0.0).otherwise(x["large"]), F.lit(0.0)).alias("spike_units"),
+    )
 
 
 def spike_candidates(orders: DataFrame) -> DataFrame:
@@ -100,12 +166,18 @@ def series(cleaned: DataFrame, opening: DataFrame, options: Options) -> DataFram
     stocks = last.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("month", "opening_stock"))).alias("stocks"))
     months = cleaned.join(last, [*KEY, "month"], "left").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("month", "sold", "units", "opening_stock"))).alias("m"))
 
-    def row(x: Column, i: Column) -> Column:
-        before, after = F.get(F.col("m"), i - 1)["units"], F.get(F.col("m"), i + 1)["units"]
+    return with_stockouts(months.join(stocks, KEY, "left"), options)
+
+
+def with_stockouts(series: DataFrame, options: Options) -> DataFrame:
+    """``rows`` from ``m`` (month, sold, units and opening_stock in order); row-wise."""
+
+    def row(m: Column, x: Column, i: Column) -> Column:
+        before, after = F.get(m, i - 1)["units"], F.get(m, i + 1)["units"]
         short = (x["opening_stock"] <= options.stockout_stock) & (before >= options.stockout_neighbour) & (after >= options.stockout_neighbour) & (x["units"] < (before + after) / 2 * options.stockout_ratio)
         return F.struct(x["month"].alias("month"), x["sold"].alias("sold"), x["units"].alias("units"), x["opening_stock"].alias("opening_stock"), F.coalesce(short, F.lit(False)).alias("stockout"))
 
-    return months.withColumn("rows", F.transform("m", row)).select(*KEY, "rows").join(stocks, KEY, "left")
+    return series.withColumn("rows", let(F.col("m"), lambda m: F.transform(m, lambda x, i: row(m, x, i)))).drop("m")
 
 
 def _mean(values: Column) -> Column:
@@ -117,6 +189,8 @@ def _units(rows: Column) -> Column:
     return F.transform(rows, lambda x: x["units"])
 
 
+#: Arrays of a series are bound with ``let`` where lambdas use them: the optimiser
+#: may merge projections, and a lambda then evaluates what it names for each item.
 def _of_month(rows: Column, moy: Column) -> Column:
     return _mean(_units(F.filter(rows, lambda x: F.substring(x["month"], 6, 2) == moy)))
 
@@ -125,7 +199,7 @@ def demand_stats(found: DataFrame) -> DataFrame:
     """Base and raw demand, deviation, demand pattern, lifecycle inputs and trend inputs."""
     df = found.withColumn("kept", F.filter("rows", lambda x: ~x["stockout"]))
     df = df.withColumns({"base_demand": F.coalesce(_mean(_units(F.col("kept"))), F.lit(0.0)), "raw_demand": _mean(_units(F.col("rows"))), "n": F.size("kept"), "months": F.size("rows")})
-    squares = F.transform("kept", lambda x: (x["units"] - F.col("base_demand")) * (x["units"] - F.col("base_demand")))
+    squares = let(F.col("base_demand"), lambda base: F.transform("kept", lambda x: (x["units"] - base) * (x["units"] - base)))
     df = df.withColumns({"demand_std": F.sqrt(F.coalesce(_mean(squares), F.lit(0.0))), "nonzero_share": F.coalesce(_mean(F.transform("kept", lambda x: (x["units"] > 0).cast("double"))), F.lit(0.0)), "stockout_months": F.col("months") - F.col("n")})
     cv = F.when(F.col("base_demand") > 0, F.try_divide("demand_std", "base_demand")).otherwise(0.0)
     return df.withColumn("demand_pattern", F.when(F.col("nonzero_share") <= 0.5, "intermittent").when(cv >= 0.75, "volatile").otherwise("stable"))
@@ -135,7 +209,7 @@ def lifecycle(stats: DataFrame) -> DataFrame:
     """active, slow or dead, from the last three rows against earlier ones."""
     n = F.col("n")
     df = stats.withColumns({"recent": F.slice("kept", F.greatest(n - 2, F.lit(1)), 3), "past": F.slice("kept", 1, F.greatest(n - 3, F.lit(0)))})
-    bases = F.filter(F.transform("recent", lambda r: _of_month(F.col("past"), F.substring(r["month"], 6, 2))), lambda x: x.isNotNull())
+    bases = let(F.col("past"), lambda past: F.filter(F.transform("recent", lambda r: let(F.substring(r["month"], 6, 2), lambda moy: _of_month(past, moy))), lambda x: x.isNotNull()))
     df = df.withColumns({"recent_avg": _mean(_units(F.col("recent"))), "bases": bases})
     enough = F.size("bases") >= 2
     earlier = F.when(n >= 12, F.when(enough, _mean(F.col("bases"))).otherwise(0.0)).otherwise(F.coalesce(_mean(_units(F.col("past"))), F.lit(0.0)))
@@ -154,9 +228,13 @@ def trend(stats: DataFrame, window: int) -> DataFrame:
     return stats.withColumns({"recent_mean": _mean(_units(recent)), "earlier_mean": F.coalesce(_mean(_units(earlier)), F.lit(0.0))})
 
 
-def planning(found: DataFrame, config: DataFrame, options: Options) -> DataFrame:
-    """Demand, lifecycle, horizon, growth and season of each configured series."""
-    joined = trend(lifecycle(demand_stats(found)), options.trend_window).join(config, KEY)
+def planning(found: DataFrame, config: DataFrame | None, options: Options) -> DataFrame:
+    """Demand, lifecycle, horizon, growth and season of each configured series.
+
+    Here and below a dimension is None where the series holds its columns already.
+    """
+    joined = trend(lifecycle(demand_stats(found)), options.trend_window)
+    joined = joined if config is None else joined.join(config, KEY)
     out = joined.withColumn("lead_time", F.coalesce("lead_time_months", F.lit(options.lead_time)))
     out = out.withColumns(
         {
@@ -174,13 +252,14 @@ def seasonal_forecast(options: Options) -> Column:
     """Array of step, month, index and weight over the months of the horizon."""
     seasonal = (F.col("lifecycle") == "active") & (F.col("demand_pattern") != "intermittent") & (F.col("base_demand") > 0)
 
-    def ahead(step: Column) -> Column:
+    def ahead(known: Column, step: Column) -> Column:
         month = month_add(F.lit(options.as_of), step + 1)
-        usual = _of_month(F.col("kept"), F.substring(month, 6, 2))
-        index = F.when(seasonal & usual.isNotNull(), F.try_divide(usual, F.col("base_demand"))).otherwise(1.0)
-        return F.struct(step.alias("step"), month.alias("month"), index.alias("index"), F.least(F.lit(1.0), F.col("horizon") - step).alias("weight"))
+        usual = let(F.substring(month, 6, 2), lambda moy: _of_month(known["kept"], moy))
+        index = F.coalesce(F.when(known["seasonal"], F.try_divide(usual, known["base"])), F.lit(1.0))
+        return F.struct(step.alias("step"), month.alias("month"), index.alias("index"), F.least(F.lit(1.0), known["horizon"] - step).alias("weight"))
 
-    return F.transform(F.sequence(F.lit(0), F.ceil("horizon").cast("int") - 1), ahead)
+    all_of = F.struct(F.col("kept").alias("kept"), F.col("base_demand").alias("base"), F.col("horizon").alias("horizon"), seasonal.alias("seasonal"))
+    return let(all_of, lambda known: F.transform(F.sequence(F.lit(0), F.ceil(known["horizon"]).cast("int") - 1), lambda step: ahead(known, step)))
 
 
 def seasonal_index(forecast: Column) -> Column:
@@ -188,23 +267,23 @@ def seasonal_index(forecast: Column) -> Column:
     return F.coalesce(F.try_divide(total, F.aggregate(forecast, F.lit(0.0), lambda a, x: a + x["weight"])), F.lit(1.0))
 
 
-def current_stock(found: DataFrame, snapshot: DataFrame, as_of: str) -> DataFrame:
+def current_stock(found: DataFrame, snapshot: DataFrame | None, as_of: str) -> DataFrame:
     """An explicit snapshot, else the latest opening balance rolled forward by net sales."""
     latest = F.try_element_at(F.filter("stocks", lambda x: x["month"] <= as_of), F.lit(-1))
     df = found.withColumns({"opening_month": latest["month"], "opening": latest["opening_stock"]})
-    sold = F.aggregate(F.filter("rows", lambda x: x["month"] >= F.col("opening_month")), F.lit(0.0), lambda a, x: a + x["sold"])
+    sold = let(F.col("opening_month"), lambda first: F.aggregate(F.filter("rows", lambda x: x["month"] >= first), F.lit(0.0), lambda a, x: a + x["sold"]))
     df = df.withColumn("sold_since", F.greatest(F.lit(0.0), F.coalesce(sold, F.lit(0.0))))
-    joined = df.join(last_wins(snapshot, "row_order"), KEY, "left")
+    joined = df if snapshot is None else df.join(last_wins(snapshot, "row_order"), KEY, "left")
     rolled_on = F.greatest(F.lit(0.0), F.coalesce("opening", F.lit(0.0)) - F.col("sold_since"))
-    return joined.select(*[c for c in df.columns if c != "opening"], F.coalesce("opening", F.lit(0.0)).alias("opening"), F.coalesce("current_stock", rolled_on).alias("current_stock"), F.when(F.col("current_stock").isNotNull(), "explicit_snapshot").otherwise("projected_from_opening").alias("stock_source"), F.coalesce("excluded_for_shelf_life", F.lit(0.0)).alias("expiring_excluded"))
+    return joined.select(*[c for c in df.columns if c not in ("opening", "current_stock", "excluded_for_shelf_life")], F.coalesce("opening", F.lit(0.0)).alias("opening"), F.coalesce("current_stock", rolled_on).alias("current_stock"), F.when(F.col("current_stock").isNotNull(), "explicit_snapshot").otherwise("projected_from_opening").alias("stock_source"), F.coalesce("excluded_for_shelf_life", F.lit(0.0)).alias("expiring_excluded"))
 
 
-def inbound_split(inbound: DataFrame, config: DataFrame, options: Options) -> DataFrame:
+def inbound_split(inbound: DataFrame, config: DataFrame | None, options: Options) -> DataFrame:
     """Goods in transit within the horizon (past dates count), of unknown date and after it."""
     end = F.last_day(F.add_months(F.to_date(F.lit(f"{options.as_of}-01")), F.ceil("horizon").cast("int")))
     begin = F.add_months(F.to_date(F.lit(f"{options.as_of}-01")), 1)
     horizon = F.coalesce("lead_time_months", F.lit(options.lead_time)) + options.review_period
-    rows = inbound.join(config.select(*KEY, horizon.alias("horizon")), KEY)
+    rows = inbound.withColumn("horizon", horizon) if config is None else inbound.join(config.select(*KEY, horizon.alias("horizon")), KEY)
     eta = F.col("expected_date")
 
     def total(condition):
@@ -213,14 +292,20 @@ def inbound_split(inbound: DataFrame, config: DataFrame, options: Options) -> Da
     return rows.groupBy(*KEY).agg(total(eta <= end).alias("inbound_within"), total(eta.isNull()).alias("inbound_unknown"), total(eta > end).alias("inbound_after"), F.min(F.when(eta >= begin, eta)).alias("nearest_inbound"))
 
 
-def recommend(plan: DataFrame, inbound: DataFrame, reserved: DataFrame, multiples: DataFrame, spikes: DataFrame, options: Options) -> DataFrame:
+def _spike_counts(spikes: DataFrame) -> DataFrame:
+    return spikes.groupBy(*KEY).agg(F.count_if(~F.col("retained")).alias("one_off"), F.count_if("retained").alias("retained"), F.coalesce(F.sum(F.when(~F.col("retained"), F.col("units"))), F.lit(0.0)).alias("spike_units"))
+
+
+def recommend(plan: DataFrame, inbound: DataFrame, reserved: DataFrame | None, multiples: DataFrame | None, spikes: DataFrame | None, options: Options) -> DataFrame:
     """The recommendation of each planned series with its stock, unrounded.
 
     ``inbound`` is the result of ``inbound_split``.
     """
-    counted = spikes.groupBy(*KEY).agg(F.count_if(~F.col("retained")).alias("one_off"), F.count_if("retained").alias("retained"), F.coalesce(F.sum(F.when(~F.col("retained"), F.col("units"))), F.lit(0.0)).alias("spike_units"))
     df = plan.withColumn("seasonal_index", seasonal_index(F.col("forecast"))).join(inbound, KEY, "left")
-    df = df.join(last_wins(reserved, "row_order"), KEY, "left").join(last_wins(multiples, "row_order"), KEY, "left").join(counted, KEY, "left")
+    for dimension in (reserved, multiples):
+        df = df if dimension is None else df.join(last_wins(dimension, "row_order"), KEY, "left")
+    if spikes is not None:
+        df = df.join(_spike_counts(spikes), KEY, "left")
     df = df.fillna(0.0, ["inbound_within", "inbound_unknown", "inbound_after", "reserved_stock", "spike_units"]).fillna(0, ["one_off", "retained"])
     level = F.coalesce(*[F.when(F.col("category") == k, F.lit(v)) for k, v in options.service_levels.items()], F.lit(options.default_service))
     dead = F.col("lifecycle") == "dead"

@@ -55,21 +55,25 @@ class Plan:
     def cleaned(self) -> DataFrame:
         return R.cleaned_demand(self.monthly, self.spikes, self.options.as_of)
 
+    @cached_property
+    def judged(self) -> DataFrame:
+        """Order sizes of each series and month, from one scan of the facts."""
+        past = self.transactions.filter(F.col("occurred_at") < F.lit(V.AFTER).cast("timestamp_ntz"))
+        return R.judged_sizes(R.order_sizes(past, self.options.as_of))
+
     @cached_property
     def series(self) -> DataFrame:
-        return R.series(self.cleaned, self.opening, self.options)
+        """One row for each series, with its dimensions; all later steps are row-wise."""
+        months = V.with_opening(R.month_rows(self.judged, self.options.as_of), self.filled)
+        return V.with_dimensions(R.with_stockouts(months, self.options))
 
     @cached_property
     def flagged(self) -> DataFrame:
         return self.series.select("supplier", "sku", F.inline("rows"))
 
-    @cached_property
-    def config(self) -> DataFrame:
-        return V.config(self.skus)
-
     @cached_property
     def plan(self) -> DataFrame:
-        return R.planning(self.series, self.config, self.options)
+        return R.planning(self.series, None, self.options)
 
     @cached_property
     def forecast(self) -> DataFrame:
@@ -77,7 +81,7 @@ class Plan:
 
     @cached_property
     def stock(self) -> DataFrame:
-        return R.current_stock(self.series, V.snapshot(self.skus), self.options.as_of)
+        return R.current_stock(self.series, None, self.options.as_of)
 
     @cached_property
     def inbound(self) -> DataFrame:
@@ -85,8 +89,8 @@ class Plan:
 
     @cached_property
     def recommended(self) -> DataFrame:
-        planned = R.planning(self.stock, self.config, self.options)
-        return R.recommend(planned, R.inbound_split(self.inbound, self.config, self.options), V.reserved(self.skus), V.multiples(self.skus), self.spikes, self.options)
+        arrivals = R.inbound_split(V.with_dimensions(self.inbound), None, self.options)
+        return R.recommend(R.planning(self.stock, None, self.options), arrivals, None, None, None, self.options)
 
 
 _CHAIN = """

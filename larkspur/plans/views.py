@@ -5,16 +5,31 @@ Derivations use plain arithmetic on keys so that SQL can repeat them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.columns import let
+
 AS_OF = "2000-12"
+#: The first instant after ``AS_OF``, for filters that reach the scan.
+AFTER = "2001-01-01"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _quantity() -> Column:
+    """Sales quantities in which large orders, growth and decline occur.
+
+    Some orders are sixteen times as large; some suppliers have many of these in the
+    last three months, others sell next to nothing then.
+    """
+    s, late = F.col("l_suppkey") % 77, (F.col("l_shipdate") >= F.lit("2000-10-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(AFTER).cast("timestamp_ntz"))
+    factor = F.when(late & (s % 11 == 5), 0.0625).when(late & (s % 11 == 6), 0.25).when(late & (s % 7 == 3) & (F.col("l_orderkey") % 4 == 0), 16.0).when(F.col("l_orderkey") % 61 == 0, 16.0).otherwise(1.0)
+    return F.col("l_quantity") * factor
+
+
 def transactions(spark: SparkSession, sf_dir: str, grain: str = "p_type") -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col(grain).alias("sku"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
@@ -24,7 +39,7 @@ def transactions(spark: SparkSession, sf_dir: str, grain: str = "p_type") -> Dat
         F.col("l_shipdate").alias("occurred_at"),
         F.date_format("l_shipdate", "yyyy-MM").alias("month"),
         F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_orderkey").cast("string")).alias("invoice_number"),
-        F.col("l_quantity").alias("units_sold"),
+        _quantity().alias("units_sold"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey").alias("row_order"),
     )
 
@@ -44,11 +59,51 @@ def series(spark: SparkSession, sf_dir: str, grain: str = "p_type") -> DataFrame
 
 
 def opening(monthly_sales: DataFrame) -> DataFrame:
-    months = F.substring("month", 1, 4).cast("int") * 12 + F.substring("month", 6, 2).cast("int")
-    value = F.greatest(F.lit(0), F.pmod(F.col("supplier").cast("int") * 7 + months * 13 + F.length("sku") * 3, F.lit(50)) - 12).cast("double")
+    value = opening_stock(F.col("supplier"), F.col("sku"), F.col("month"))
     return monthly_sales.select("supplier", "sku", "month", value.alias("opening_stock"), F.lit(1).alias("row_order"))
 
 
+def opening_stock(supplier: Column, sku: Column, month: Column) -> Column:
+    months = F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int")
+    return F.greatest(F.lit(0), F.pmod(supplier.cast("int") * 7 + months * 13 + F.length(sku) * 3, F.lit(50)) - 12).cast("double")
+
+
+def with_opening(months: DataFrame, filled: bool = False) -> DataFrame:
+    """``m`` with opening balances, and their list ``stocks``; row-wise.
+
+    Filled series have every month from their first to ``AS_OF``.
+    """
+    m = F.col("m")
+    if filled:
+        day = lambda month: F.to_date(F.concat(month, F.lit("-01")))
+        every = F.sequence(day(F.get(m, F.lit(0))["month"]), day(F.lit(AS_OF)), F.expr("interval 1 month"))
+        by_name = F.map_from_entries(F.transform(m, lambda x: F.struct(x["month"], x)))
+
+        def of_month(known: Column, name: Column) -> Column:
+            x = F.try_element_at(known, name)
+            return F.struct(name.alias("month"), F.coalesce(x["sold"], F.lit(0.0)).alias("sold"), F.coalesce(x["units"], F.lit(0.0)).alias("units"))
+
+        months = months.withColumn("m", let(by_name, lambda known: F.transform(F.transform(every, lambda d: F.date_format(d, "yyyy-MM")), lambda name: of_month(known, name))))
+    stocked = F.transform("m", lambda x: F.struct(x["month"].alias("month"), x["sold"].alias("sold"), x["units"].alias("units"), opening_stock(F.col("supplier"), F.col("sku"), x["month"]).alias("opening_stock")))
+    return months.withColumn("m", stocked).withColumn("stocks", F.transform("m", lambda x: F.struct(x["month"].alias("month"), x["opening_stock"].alias("opening_stock"))))
+
+
+def with_dimensions(series_rows: DataFrame) -> DataFrame:
+    """The columns of config, snapshot, reserved and multiples on rows of series."""
+    s = F.col("supplier").cast("int")
+    return series_rows.withColumns(
+        {
+            "category": F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), s % 3 + 1),
+            "forecast_growth_rate": (s % 5).cast("double") * 0.02,
+            "lead_time_months": F.when(s % 5 == 0, 1.5),
+            "current_stock": F.when(s % 3 == 0, F.pmod(s * 31 + F.length("sku") * 17, F.lit(400)).cast("double")),
+            "excluded_for_shelf_life": F.when(s % 6 == 0, 5.0),
+            "reserved_stock": F.when(s % 4 == 0, F.pmod(s * 3, F.lit(20)).cast("double")),
+            "multiple": F.when(s % 2 == 0, 10.0 * (1 + s % 5)),
+        }
+    )
+
+
 def config(skus: DataFrame) -> DataFrame:
     s = F.col("supplier").cast("int")
     return skus.select(
@@ -76,7 +131,7 @@ def multiples(skus: DataFrame) -> DataFrame:
 
 
 def inbound(spark: SparkSession, sf_dir: str, grain: str = "p_type") -> DataFrame:
-    later = transactions(spark, sf_dir, grain).filter(F.col("month") > AS_OF)
+    later = transactions(spark, sf_dir, grain).filter(F.col("occurred_at") >= F.lit(AFTER).cast("timestamp_ntz"))
     eta = F.when(F.col("row_order.l_linenumber") == 7, F.lit(None)).otherwise(F.to_date("occurred_at"))
     return later.select("supplier", "sku", eta.alias("expected_date"), F.col("units_sold").alias("quantity"))
 
@@ -130,7 +185,8 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 tx AS (SELECT CAST(l_suppkey AS VARCHAR) AS supplier, CAST(l_suppkey AS INTEGER) AS s, {{grain}} AS sku, l_shipdate AS occurred_at,
     strftime(l_shipdate, '%Y-%m') AS month, CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END AS invoice_number,
-    l_quantity AS units_sold, l_orderkey, l_linenumber, l_partkey, l_shipdate
+    l_quantity * CASE WHEN l_shipdate >= TIMESTAMP '2000-10-01' AND l_shipdate < TIMESTAMP '{AFTER}' AND l_suppkey % 77 % 11 = 5 THEN CAST(0.0625 AS DOUBLE) WHEN l_shipdate >= TIMESTAMP '2000-10-01' AND l_shipdate < TIMESTAMP '{AFTER}' AND l_suppkey % 77 % 11 = 6 THEN 0.25
+      WHEN l_shipdate >= TIMESTAMP '2000-10-01' AND l_shipdate < TIMESTAMP '{AFTER}' AND l_suppkey % 77 % 7 = 3 AND l_orderkey % 4 = 0 THEN 16 WHEN l_orderkey % 61 = 0 THEN 16 ELSE 1 END AS units_sold, l_orderkey, l_linenumber, l_partkey, l_shipdate
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 sums AS (SELECT supplier, s, sku, month, sum(units_sold) AS units_sold FROM tx GROUP BY ALL),
 monthly AS ({{monthly}}),
