@@ -5,12 +5,14 @@ best bin first: a priority queue holds subtrees by the distance of their centre,
 the nearest is popped and descended, its siblings are queued.  Leaf visits are
 widened until the recall of a set of check queries, searched exactly over all
 rows, reaches the target; with every leaf visited the search is exact.  A query
-whose leaves hold too few distinct ids visits more of them.
+whose leaves hold too few distinct ids visits more of them.  The recall measured on
+the check queries is returned with every row.
 
 Inner products of vectors of unequal length are reduced to distances by one added
 coordinate that makes all lengths equal.  Leaves are cut into blocks by a hash of
 the row id, and the queries of a leaf likewise, so that a task holds one bounded
-block of each, whatever the size of a leaf.
+block of each, whatever the size of a leaf; a leaf is sent once for each block of
+the queries that visit it, and not at all if none does.
 
 Defined results: vectors that are null, zero, of another dimension than the widest
 group in the sample, or that hold null or non-finite components take no part; a
@@ -37,7 +39,11 @@ from larkspur.llm import scratch
 K = 20
 SAMPLE = 20_000
 BRANCH = 8
+#: Leaves grow with the rows, from this many on, as far as the sample can tell them
+#: apart.
 MAX_LEAVES = 256
+ROWS_A_LEAF = 4096
+MAX_SAMPLE = 100_000
 CHECKS = 64
 TARGET = 0.95
 BLOCK = 16_384
@@ -231,10 +237,15 @@ def queries_of(shared) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, target: float = TARGET, sample: int = SAMPLE, branch: int = BRANCH, max_leaves: int = MAX_LEAVES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of every row marked as a query."""
+    """query_id, rank, vec_id, score: the k nearest of every row marked as a query.
+
+    The tree is fitted on ``sample`` rows, or a fiftieth of them, ``MAX_SAMPLE`` at most.
+    """
     spark = embeddings.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, recall double"
     all_rows = embeddings.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    n_rows = all_rows.count()
+    sample = max(sample, min(MAX_SAMPLE, n_rows // 50))
     drawn = all_rows.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(sample).toArrow()
     if not drawn.num_rows:
         return spark.createDataFrame([], schema)
@@ -244,7 +255,7 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     longest = rows.agg(F.max(length)).first()[0]
     points = _unpacked(drawn.filter(pc.equal(pc.list_value_length(drawn.column("vec")), dim)).column("vec"))
-    tree = fit(points, longest, branch, max_leaves)
+    tree = fit(points, longest, branch, max(max_leaves, min(len(points) // (4 * branch), n_rows // ROWS_A_LEAF)))
     shared = spark.sparkContext.broadcast(tree)
 
     def placed(batches):
@@ -262,39 +273,39 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
     truth = _brute(index, check, k)
     # One short row a leaf; leaves are at most max_leaves.
     counts = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}
-    visits = _calibrated(index, tree, check, truth, k, target)
-    found = scratch.cut(_run(index, queries, tree, visits, counts, -(-queries.count() // block), k, block))
+    visits, recall = _calibrated(index, tree, check, truth, k, target)
+    found = scratch.cut(_run(index, queries, tree, visits, counts, k, block))
     while visits < tree.leaves:
         # Repeated ids may fill the visited leaves: such queries ask more of them.
         short = scratch.cut(queries.join(found.filter(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti"))
-        n = short.count()
-        if not n:
+        if short.isEmpty():
             break
         visits = min(tree.leaves, 4 * visits)
-        again = scratch.cut(_run(index, short, tree, visits, counts, -(-n // block), k, block))
+        again = scratch.cut(_run(index, short, tree, visits, counts, k, block))
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return found
+    return found.withColumn("recall", F.lit(recall))
 
 
-def _calibrated(index: DataFrame, tree: Tree, check, truth: dict[int, list[int]], k: int, target: float) -> int:
-    """Leaf visits that reach the target recall on the check queries.
+def _calibrated(index: DataFrame, tree: Tree, check, truth: dict[int, list[int]], k: int, target: float) -> tuple[int, float]:
+    """Leaf visits that reach the target recall on the check queries, and that recall.
 
     The leaf of each true neighbour tells how far a query must widen to find it.
     """
     wanted = sorted({v for ids in truth.values() for v in ids})
     if not wanted:
-        return tree.leaves
+        return tree.leaves, 1.0
     home = {r.id: r.leaf for r in index.join(F.broadcast(index.sparkSession.createDataFrame([(w,) for w in wanted], "id long")), "id").select("id", "leaf").collect()}
     depth = []
     for q, vector in zip(check[0].tolist(), check[1]):
         at = {leaf: n for n, leaf in enumerate(tree.visits(vector, tree.leaves), 1)}
         depth += [at[home[v]] for v in truth.get(q, ())]
     depth.sort()
-    return depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]
+    visits = depth[min(len(depth) - 1, int(np.ceil(target * len(depth))))]
+    return visits, sum(d <= visits for d in depth) / len(depth)
 
 
-def _run(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, counts: dict[int, int], shares: int, k: int, block: int) -> DataFrame:
-    """Each tile joins one block of a leaf with one share of the queries.
+def _run(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, counts: dict[int, int], k: int, block: int) -> DataFrame:
+    """Each tile joins one block of a leaf with one share of the queries that visit it.
 
     A query visits ``visits`` leaves, and more until they hold k rows beside itself.
     """
@@ -311,9 +322,22 @@ def _run(index: DataFrame, queries: DataFrame, tree: Tree, visits: int, counts:
                         ids.append(q), vecs.append(vector), leaves.append(leaf), parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.list_(pa.float64())), pa.array(leaves, pa.int32()), pa.array(parts, pa.int32())], ["id", "vec", "leaf", "part"])
 
+    def asking(batches):
+        known, sizes = shared.value
+        seen: Counter = Counter()
+        for batch in batches:
+            for vector in _unpacked(batch.column(1)) if batch.num_rows else []:
+                seen.update(known.visits(vector, visits, sizes, k + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["leaf", "n"])
+
+    # Queries of each leaf; a short row a leaf.
+    load = {r.leaf: -(-r.n // block) for r in queries.mapInArrow(asking, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    if not load:
+        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shares = F.create_map(*[F.lit(x) for item in sorted(load.items()) for x in item])
     sizes = F.create_map(*[F.lit(x) for leaf, n in sorted(counts.items()) for x in (leaf, -(-n // block))])
-    asks = queries.mapInArrow(asked, "id long, vec array<double>, leaf int, part int").withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
-    held = index.select("id", "vec", "leaf", F.pmod(F.xxhash64("id"), sizes[F.col("leaf")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    asks = queries.mapInArrow(asked, "id long, vec array<double>, leaf int, part int").withColumn("share", F.pmod(F.xxhash64("id"), shares[F.col("leaf")]).cast("int"))
+    held = index.filter(F.map_contains_key(shares, F.col("leaf"))).select("id", "vec", "leaf", F.pmod(F.xxhash64("id"), sizes[F.col("leaf")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), (shares[F.col("leaf")] - 1).cast("int"))).alias("share"))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []

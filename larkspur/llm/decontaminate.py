@@ -6,8 +6,8 @@ over normalised text, and hits are mapped back to code-point offsets of the
 original text.
 
 Defined results: a null or empty text has no words and is clean; a benchmark row
-with a null id, null text or no words adds no window; rows that repeat an item
-add nothing new; rows that repeat a document are each reported; an empty
+with null text or no words adds no window; one with a null id marks words but names
+no item; rows that repeat an item add nothing new; rows that repeat a document are each reported; an empty
 benchmark leaves every document clean; other columns are passed through, and an
 input column named like the output is replaced.
 """
@@ -37,14 +37,40 @@ REPORT = T.StructType(
 )
 
 
-def windows(items: Iterator[tuple[str, bytes]], size: int = WINDOW) -> dict[str, set[str]]:
-    """Padded window text to the ids of the items that hold it."""
-    found: dict[str, set[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            found.setdefault(padded(words[k : k + size]), set()).add(item)
-    return found
+def windows(text: bytes | None, size: int = WINDOW) -> Iterator[str]:
+    """Padded texts of an item's windows."""
+    words = words_of(text)
+    for k in range(max(1, len(words) - size + 1) if words else 0):
+        yield padded(words[k : k + size])
+
+
+def window_rows(benchmark: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
+    """Distinct window and item of a benchmark."""
+
+    def task(batches):
+        for batch in batches:
+            items, found = [], []
+            for item, text in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1))):
+                for w in windows(text, size):
+                    items.append(item), found.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(found, pa.string())], ["item", "window"])
+
+    return benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string")).mapInArrow(task, "item string, window string").distinct()
+
+
+def pattern_shards(rows: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, list[str]]]]:
+    """Patterns in shards of about ``max_bytes``, dealt by a hash of the window; the
+    driver holds one shard at a time."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0))).first()[0]
+    n = max(1, -(-total // max_bytes))
+    for k in range(n):
+        found: dict[str, list[str]] = {}
+        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
+        for r in part.orderBy("window", "item").toLocalIterator():
+            of = found.setdefault(r.window, [])
+            if r.item is not None:
+                of.append(r.item)
+        yield list(found.items())
 
 
 def scan_text(text: bytes | None, matcher) -> tuple[int, int, list[str], list[dict]]:
@@ -77,14 +103,12 @@ def _scan(batches: Iterator[pa.RecordBatch], text: str, out: str, patterns, span
 def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "contamination", max_bytes: int = phrases.MAX_BYTES) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, n_hit, items, spans.
 
-    The benchmark is read through an iterator.  While its windows stay below
-    ``max_bytes`` they form one broadcast automaton; a larger benchmark is split
-    into shards, each scanned in a pass of its own, and the reports are merged.
+    Windows are made in Spark.  While they stay below ``max_bytes`` they form one
+    broadcast automaton; a larger benchmark is split into shards, each scanned in a
+    pass of its own, and the reports are merged.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("binary")).dropna().toLocalIterator()
-    found = windows(((r[0], bytes(r[1])) for r in rows), window)
-    parts = list(phrases.shards(((k, sorted(v)) for k, v in found.items()), max_bytes)) or [[]]
+    parts = pattern_shards(scratch.cut(window_rows(benchmark, item_id, item_text, window)), max_bytes)
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     result = docs
     for k, part in enumerate(parts):

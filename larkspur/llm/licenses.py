@@ -10,7 +10,9 @@ choice is permissive.
 Defined results: null or empty text has no words and score 0; a damaged
 expression adds only the identifiers read before the damage; repeated rows are
 each reported; an empty table gives no rows; other columns are passed through,
-and one named like the output is replaced.
+and one named like the output is replaced.  ``permissive`` is null without an
+expression, else whether every expression of the text has a permissive choice; an
+exception after WITH stays in the expression and is no label.
 """
 
 from __future__ import annotations
@@ -65,11 +67,12 @@ REPORT = T.StructType(
         T.StructField("base_labels", T.ArrayType(T.StringType())),
         T.StructField("labels", T.ArrayType(T.StringType())),
         T.StructField("expressions", T.ArrayType(T.StringType())),
+        T.StructField("permissive", T.BooleanType()),
         T.StructField("score", T.DoubleType()),
     ]
 )
 _KIND = pa.struct(
-    [(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")] + [(n, pa.list_(pa.string())) for n in ("base_labels", "labels", "expressions")] + [("score", pa.float64())]
+    [(n, pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")] + [(n, pa.list_(pa.string())) for n in ("base_labels", "labels", "expressions")] + [("permissive", pa.bool_()), ("score", pa.float64())]
 )
 
 
@@ -142,26 +145,27 @@ def patterns() -> list[tuple[str, object]]:
 def scan_text(text: bytes | None, matcher) -> dict:
     words = words_of(text)
     hits = phrases.places(matcher, padded(words))
-    row = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": [], "labels": [], "expressions": [], "score": 0.0}
+    row = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": [], "labels": [], "expressions": [], "permissive": None, "score": 0.0}
     if not hits:
         return row
     base = sorted((first, label) for first, _, roles in hits for role, label in roles if role == "base")
     notices = {label for *_, roles in hits for role, label in roles if role == "notice"}
     tags = [first + n - 1 for first, n, roles in hits for role, _ in roles if role == "tag"]
-    expressions, named = [], set()
+    expressions, named, free = [], set(), []
     if tags:
         original = text.decode("utf-8", "replace")
         ends = [m.end() for m in WORD.finditer(original)]
         for last in tags:
             line = original[ends[last] :].lstrip(":= \t").partition("\n")[0]
             if order := postfix(line):
-                form, ids, _ = evaluate(order)
+                form, ids, permissive = evaluate(order)
                 expressions.append(form)
+                free.append(permissive)
                 named |= ids
     base_labels = sorted({label for _, label in base})
     labels = sorted({*base_labels, *notices, *named})
     kinds = len(labels) + 2 * len(expressions)
-    return row | {"n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None, "base_labels": base_labels, "labels": labels, "expressions": sorted(set(expressions)), "score": kinds / (kinds + 1.0)}
+    return row | {"n_base": len(base), "first_word": base[0][0] if base else None, "last_word": base[-1][0] if base else None, "base_labels": base_labels, "labels": labels, "expressions": sorted(set(expressions)), "permissive": all(free) if free else None, "score": kinds / (kinds + 1.0)}
 
 
 def _scan(batches: Iterator[pa.RecordBatch], text: str, out: str) -> Iterator[pa.RecordBatch]:

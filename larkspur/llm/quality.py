@@ -9,9 +9,10 @@ compared with all of them in exact blocked cosine products.  The labels of the
 ``k`` nearest vote, weighted by a power of their similarity.
 
 Defined results: null text counts as empty and is still scored; rows with a null
-label or id do not teach, rows that repeat a label are averaged; without any label
-every score is 0.5; ties between neighbours go to the earlier training row in hash
-order; repeated document rows are each scored; other columns are passed through,
+label or id do not teach, rows that repeat a label are averaged, of documents that
+repeat a labelled id the one with the least term vector teaches; without any label
+every score is 0.5; ties between neighbours go to the earlier training row, in byte
+order of the term vectors; repeated document rows are each scored; other columns are passed through,
 and one named like an output is replaced.
 """
 
@@ -122,11 +123,24 @@ class Model:
             return np.full(len(terms), 0.5)
         k = min(self.k, len(self.labels))
         cosines = self.project(terms) @ self.latent.T
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), cosines.shape)
+        near = self._nearest(cosines, k)
         votes = np.clip(np.take_along_axis(cosines, near, 1), 1e-3, 1).astype(np.float64) ** SHARPNESS
         return np.clip((votes * self.labels[near]).sum(1) / votes.sum(1), 0, 1)
 
 
+    @staticmethod
+    def _nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+        """The k nearest training rows of each line, ties to the earlier row."""
+        if k == cosines.shape[1]:
+            return np.broadcast_to(np.arange(k), cosines.shape)
+        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cosines, near, 1).min(1, keepdims=True)
+        # A partition keeps any of the rows that tie at its border.
+        for i in np.flatnonzero((cosines >= least).sum(1) > k):
+            near[i] = np.argsort(-cosines[i], kind="stable")[:k]
+        return near
+
+
 def _weighted(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = terms * weights
     grams = out[:, :HASHED]
@@ -157,7 +171,7 @@ def held_out(doc_id: Column) -> Column:
 def _terms_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.ascontiguousarray(term_vector(x), "<f4").tobytes() for x in binary_texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["label", "id", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, **options) -> Model:
@@ -176,8 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         .limit(max_train)
     )
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(taught), "id")
-    rows = texts.select("label", "text").mapInArrow(_terms_only, "label double, terms binary").collect()
-    found = sorted((bytes(r.terms), r.label) for r in rows)[: 2 * max_train]
+    vectors = texts.select("label", "text", F.xxhash64("id").alias("id")).mapInArrow(_terms_only, "label double, id long, terms binary")
+    rows = vectors.groupBy("id").agg(F.min(F.struct("terms", "label")).alias("least")).select("least.*").collect()
+    found = sorted((bytes(r.terms), r.label) for r in rows)
     terms = np.frombuffer(b"".join(t for t, _ in found), "<f4").reshape(-1, WIDTH) if found else np.zeros((0, WIDTH), np.float32)
     return fit(terms, np.array([x for _, x in found]), **options)
 

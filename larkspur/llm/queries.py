@@ -61,7 +61,7 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.array_join("expressions", ", ").alias("expressions"), "permissive")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

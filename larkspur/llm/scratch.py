@@ -16,15 +16,23 @@ from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only in local mode, and where the session names no checkpoint folder, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/larkspur"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; sets a fallback only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named or FALLBACK_DIR)
+    """The session's shared folder: that of its settings, else the one set before.
+
+    Where there is none, local mode gets a fallback; a cluster must name one.
+    """
+    context = spark.sparkContext
+    named, before = context.getConf().get("spark.checkpoint.dir"), context._jsc.sc().getCheckpointDir()
+    if not named and before.isDefined():
+        return os.path.dirname(before.get().rstrip("/"))
+    if not named and not context.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    if not before.isDefined():
+        context.setCheckpointDir(named or FALLBACK_DIR)
     return named or FALLBACK_DIR
 
 

@@ -41,6 +41,8 @@ SPACE = "▁"
 MEMO_ENTRIES = 250_000
 WORD_ENTRIES = 250_000
 PAIR_ENTRIES = 300_000
+#: Longer words and parts are not remembered, so memory is bounded in bytes too.
+MEMO_LENGTH = 64
 #: Stands for the arc of a character outside the vocabulary, and its weight.
 _OUTSIDE = -2
 OUTSIDE_WEIGHT = 100.0
@@ -260,10 +262,11 @@ class Transducer:
         parts, memo = self.cut.findall(symbols), self.memo
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
+        long = {part: self.shortest(part) for part in parts if len(part) > MEMO_LENGTH}
         for part in parts:
-            if part not in memo:
+            if part not in memo and part not in long:
                 memo[part] = self.shortest(part)
-        return b"".join(map(memo.__getitem__, parts))
+        return b"".join(long[p] if p in long else memo[p] for p in parts) if long else b"".join(map(memo.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers."""
@@ -276,9 +279,11 @@ class Transducer:
         words, known = marked.split(" "), self.words
         if len(known) > WORD_ENTRIES:
             known.clear()
+        long: dict[str, bytes] = {}
         for word in set(words).difference(known):
-            known[word] = self._joined(word if word[0] == "\n" else SPACE + word)
-        return b"".join(map(known.__getitem__, words))
+            of = known if len(word) <= MEMO_LENGTH else long
+            of[word] = self._joined(word if word[0] == "\n" else SPACE + word)
+        return b"".join(long[w] if w in long else known[w] for w in words) if long else b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse machine: ids to pieces and bytes, then to text."""

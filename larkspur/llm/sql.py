@@ -8,7 +8,7 @@ _TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQR
 
 ORACLES["op1_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TOKENS} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TOKENS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TOKENS} AS w FROM benchmark),
 wins AS (
   SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k + 1 : k + least(len(w), 10)], ' ') AS t
   FROM (SELECT item, w, unnest(range(greatest(1, len(w) - 9))) AS k FROM b WHERE len(w) > 0)
@@ -18,7 +18,7 @@ starts AS (SELECT r, w, unnest(range(len(w))) AS p FROM d WHERE len(w) > 0),
 cand AS (SELECT r, p, n, array_to_string(w[p + 1 : p + n], ' ') AS t FROM starts, sizes WHERE p + n <= len(w)),
 hits AS (SELECT c.r, c.p, c.n, wins.item FROM cand c JOIN wins ON c.t = wins.t AND c.n = wins.n),
 words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)

@@ -3,9 +3,9 @@
 Layout of one shard::
 
     frame*        zstandard frames; each holds the ids (little-endian unsigned
-                  32-bit) of one or more whole documents
+                  32-bit) of one document, or a part of a very long one
     index         skippable frame 0x184D2A5D: for each document its id (int64,
-                  the least value for null), frame number (uint32) and id count
+                  the least value for null), first frame (uint32) and id count
                   (uint64)
     seek table    skippable frame 0x184D2A5E in the public seekable layout: for
                   each frame compressed size, decompressed size and the low 32
@@ -17,11 +17,13 @@ frames of the documents asked for; each frame is checked against its checksum.
 
 Defined results: null text counts as empty, and an empty document has its end id
 alone; equal document ids stand in the order of a hash of their texts; a null
-document id sorts first; an empty table writes no shard.
+document id sorts first; an empty table writes no shard.  A document of more than
+``FRAME_BYTES`` of ids has several frames, so no size overflows the seek table.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -42,13 +44,18 @@ from larkspur.llm import scratch
 from larkspur.llm.words import binary_texts
 
 END_ID = 2
-FRAME_BYTES = 1 << 20
-LEVEL = 3
+#: Most bytes of ids in one frame.
+FRAME_BYTES = 1 << 28
+LEVEL = 1
+#: Bytes of input, as Spark estimates them, for one shard at most.
+SHARD_BYTES = 256 << 20
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 NULL_ID = -(1 << 63)
-#: Distinct parts of texts remembered by one Python worker.
-MEMO_ENTRIES = 800_000
+#: Bytes of parts of texts and their ids remembered by one Python worker, with what
+#: a dictionary entry takes beside them.
+MEMO_BYTES = 192 << 20
+ENTRY_BYTES = 230
 #: Documents encoded together.
 GROUP = 64
 _ENTRY = struct.Struct("<qIQ")
@@ -56,6 +63,9 @@ _ENTRY = struct.Struct("<qIQ")
 
 #: Signs whose normal form is their lower case, and the tokenizer's split on them.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+#: Only for tokenizers of these fixed rules.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
@@ -66,7 +76,8 @@ class ChunkEncoder:
     single digits and runs of other signs before it encodes, so the ids of a text
     are those of its parts in order.  Texts of plain signs and precomposed Western
     letters, which normalisation only lower-cases, are split that finely; others at
-    blanks; texts that may hold a special token's string are encoded whole.
+    blanks; texts that may hold a special token's string are encoded whole, and so
+    is every text where the tokenizer's rules are others.
     """
 
     def __init__(self, path: str):
@@ -76,7 +87,12 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        rules = json.loads(self.tokenizer.to_str())
+        normalizer, splits = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}
+        model = rules["model"]
+        self.splits = normalizer.get("normalizers") == _NORMALIZER and splits.get("pretokenizers", [None])[0] == _SPLIT and len(splits["pretokenizers"]) == 2 and splits["pretokenizers"][1]["type"] == "ByteLevel" and not splits["pretokenizers"][1]["add_prefix_space"] and model["type"] == "BPE" and not model.get("dropout")
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,11 +105,12 @@ class ChunkEncoder:
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         """One call of the library for the parts of a group that are new."""
         memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
+        if self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
         split, new = [], set()
         for text in texts:
-            if any(s in text for s in self.special):
+            if not self.splits or any(s in text for s in self.special):
                 parts = None
             else:
                 parts = _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) else text.replace("\n", " ").split(" ")
@@ -101,7 +118,9 @@ class ChunkEncoder:
             split.append(parts)
         wanted = list(new.difference(memo))
         if wanted:
-            memo.update(zip(wanted, self._ids(wanted)))
+            found = self._ids(wanted)
+            memo.update(zip(wanted, found))
+            self.held += sum(map(len, wanted)) + sum(map(len, found)) + ENTRY_BYTES * len(wanted)
         for text, parts in zip(texts, split):
             yield self._ids([text])[0] if parts is None else b"".join(map(memo.__getitem__, parts))
 
@@ -112,30 +131,20 @@ class ShardWriter:
     def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = LEVEL):
         self.out, self.frame_bytes = out, frame_bytes
         self.codec = zstandard.ZstdCompressor(level=level, write_content_size=True)
-        self.pending: list[bytes] = []
-        self.size = 0
         self.frames: list[tuple[int, int, int]] = []
         self.index: list[bytes] = []
         self.ids = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        if self.pending and self.size + len(ids) > self.frame_bytes:
-            self._flush()
         self.index.append(_ENTRY.pack(NULL_ID if doc_id is None else doc_id, len(self.frames), len(ids) // 4))
-        self.pending.append(ids)
-        self.size += len(ids)
+        for at in range(0, len(ids), self.frame_bytes):
+            body = ids[at : at + self.frame_bytes]
+            packed = self.codec.compress(body)
+            self.out.write(packed)
+            self.frames.append((len(packed), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF))
         self.ids += len(ids) // 4
 
-    def _flush(self) -> None:
-        body = b"".join(self.pending)
-        packed = self.codec.compress(body)
-        self.out.write(packed)
-        self.frames.append((len(packed), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF))
-        self.pending, self.size = [], 0
-
     def close(self) -> None:
-        if self.pending:
-            self._flush()
         index = b"".join(self.index)
         self.out.write(struct.pack("<II", SKIP_INDEX, len(index)) + index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
@@ -146,7 +155,6 @@ class ShardWriter:
 class Entry:
     doc_id: int | None
     frame: int
-    skip: int
     n: int
 
 
@@ -172,16 +180,14 @@ class ShardReader:
         if magic != SKIP_INDEX or int(self.offsets[-1]) + 8 + size != seek_start:
             raise ValueError("damaged document index")
         self.entries: list[Entry] = []
-        frame, skip = -1, 0
         for doc_id, k, n_ids in _ENTRY.iter_unpack(source.read(size)):
-            skip = 0 if k != frame else skip
-            self.entries.append(Entry(None if doc_id == NULL_ID else doc_id, k, skip, n_ids))
-            frame, skip = k, skip + n_ids * 4
+            self.entries.append(Entry(None if doc_id == NULL_ID else doc_id, k, n_ids))
+        self.codec = zstandard.ZstdDecompressor()
 
     def frame(self, k: int) -> bytes:
         self.source.seek(int(self.offsets[k]))
         packed, size, check = self.frames[k]
-        body = zstandard.ZstdDecompressor().decompress(self.source.read(packed), max_output_size=size)
+        body = self.codec.decompress(self.source.read(packed), max_output_size=size)
         if len(body) != size or xxhash.xxh64_intdigest(body) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k} fails its checksum")
         return body
@@ -189,13 +195,13 @@ class ShardReader:
     def documents(self, wanted: Iterable[int | None] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
         """Ids of the wanted documents, or of all, decompressing no other frame."""
         wanted = None if wanted is None else set(wanted)
-        frame, body = -1, b""
         for e in self.entries:
-            if wanted is not None and e.doc_id not in wanted:
-                continue
-            if e.frame != frame:
-                frame, body = e.frame, self.frame(e.frame)
-            yield e.doc_id, np.frombuffer(body, "<u4", e.n, e.skip)
+            if wanted is None or e.doc_id in wanted:
+                parts, held, frame = [], 0, e.frame
+                while held < e.n * 4:
+                    parts.append(self.frame(frame))
+                    held, frame = held + len(parts[-1]), frame + 1
+                yield e.doc_id, np.frombuffer(parts[0] if len(parts) == 1 else b"".join(parts), "<u4")
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -230,12 +236,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id
     """Write shards in ascending document order; returns (uri, documents, ids) of each.
 
     Documents are range-partitioned by id, and by a hash of the text within an id,
-    so each task holds one frame and one shard's tables.  What comes back to the
+    so each task holds one document and one shard's tables.  What comes back to the
     driver is one row a shard.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # An estimate is enough, and costs no scan: it only sets how many shards there are.
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD_BYTES), 1_000_000))
     ordered = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
     def task(batches):
