@@ -78,12 +78,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    What a stage has read is removed as soon as its own rows are written; the rows of
+    the last stage are a checkpoint, which Spark removes with the last plan on it.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs, read = stage(spark, docs, sf_dir), path
         if k < len(STAGES) - 1:
             path = scratch.fresh_dir(spark, f"stage-{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+        else:
+            docs = scratch.cut(docs)
+        if read:
+            scratch.remove_dir(spark, read)
     return docs
