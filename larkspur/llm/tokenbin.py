@@ -47,8 +47,8 @@ END_ID = 2
 #: Most bytes of ids in one frame.
 FRAME_BYTES = 1 << 28
 LEVEL = 1
-#: Bytes of input, as Spark estimates them, for one shard at most.
-SHARD_BYTES = 256 << 20
+#: A task goes on to its next shard once one holds this many ids.
+SHARD_IDS = 256 << 20
 #: Fixed values of the public seekable format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 NULL_ID = -(1 << 63)
@@ -214,22 +214,26 @@ def _encoder(path: str) -> ChunkEncoder:
 
 
 def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId()
-    first = next((b for b in batches if b.num_rows), None)
-    if first is None:
-        return
-    uri, encoder, end = f"{folder}/shard-{number:06d}.zst", _encoder(tokenizer), struct.pack("<I", end_id)
-    docs = 0
-    with scratch.open_output(uri) as out:
-        writer = ShardWriter(out)
-        while first is not None:
-            texts = (x.decode("utf-8", "replace") if x else "" for x in binary_texts(first.column(1)))
-            for doc_id, ids in zip(first.column(0).to_pylist(), encoder.encode(texts)):
-                writer.add(doc_id, ids + end)
-                docs += 1
-            first = next(batches, None)
-        writer.close()
-    yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "uri": [uri], "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
+    number, encoder, end = TaskContext.get().partitionId(), _encoder(tokenizer), struct.pack("<I", end_id)
+
+    def documents() -> Iterator[tuple[int | None, bytes]]:
+        for batch in batches:
+            texts = (x.decode("utf-8", "replace") if x else "" for x in binary_texts(batch.column(1)))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+                yield doc_id, ids + end
+
+    ready, part = documents(), 0
+    document = next(ready, None)
+    while document is not None:
+        uri = f"{folder}/shard-{number:06d}-{part:06d}.zst"
+        with scratch.open_output(uri) as out:
+            writer = ShardWriter(out)
+            while document is not None and writer.ids < SHARD_IDS:
+                writer.add(*document)
+                document = next(ready, None)
+            writer.close()
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "part": pa.array([part], pa.int32()), "uri": [uri], "n_docs": pa.array([len(writer.index)], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})
+        part += 1
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, partitions: int | None = None) -> list[tuple[str, int, int]]:
@@ -241,16 +245,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
-    # An estimate is enough, and costs no scan: it only sets how many shards there are.
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD_BYTES), 1_000_000))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
     def task(batches):
         return _write_shard(batches, folder, tokenizer, end_id)
 
-    made = ordered.mapInArrow(task, "shard int, uri string, n_docs long, n_ids long").collect()
-    return [(r.uri, r.n_docs, r.n_ids) for r in sorted(made, key=lambda r: r.shard)]
+    made = ordered.mapInArrow(task, "shard int, part int, uri string, n_docs long, n_ids long").collect()
+    return [(r.uri, r.n_docs, r.n_ids) for r in sorted(made, key=lambda r: (r.shard, r.part))]
 
 
 def _read_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
