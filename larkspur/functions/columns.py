@@ -52,6 +52,11 @@ def pearson(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
+def percentage_change(before: Column, now: Column) -> Column:
+    """Change as a fraction of the value before; 0 where that is 0."""
+    return F.when(before == 0, 0.0).otherwise(F.try_divide(now - before, F.abs(before)))
+
+
 def floor_quantile(sorted_values: Column, fraction: float) -> Column:
     """Element floor((n-1)f) of a sorted array."""
     return F.element_at(sorted_values, (F.floor((F.size(sorted_values) - 1) * F.lit(fraction)) + 1).cast("int"))

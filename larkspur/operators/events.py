@@ -6,9 +6,11 @@ whole milliseconds, as gaps are judged in them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.quantiles import medians, values_at
+
 WINDOW_MS = 300_000
 
 
@@ -30,21 +32,72 @@ def profile(log: DataFrame) -> DataFrame:
     return log.agg(F.countDistinct("event_id").alias("ids"), (F.count("event_id") - F.countDistinct("event_id")).alias("duplicates"), F.countDistinct("entity_id").alias("entities"), F.count_if(F.col("micros").isNull()).alias("invalid"), F.min("micros").alias("first"), F.max("micros").alias("last"))
 
 
-def sessions(log: DataFrame, keys: list[str], least: int, gap_ms: int = WINDOW_MS) -> DataFrame:
-    """Runs of a key whose neighbours are at most ``gap_ms`` apart; an exact gap joins.
+#: A key's log is cut into days; runs are numbered across the cuts.
+DAY_MS = 86_400_000
+
+
+def _same(keys: list[str], left: str, right: str) -> Column:
+    """Equality of keys, null to null."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return same
+
 
-    Every event keeps its run number; runs below ``least`` events are dropped.
+def runs(log: DataFrame, keys: list[str], gap_ms: int = WINDOW_MS) -> DataFrame:
+    """Events with the number of their run: neighbours at most ``gap_ms`` apart.
+
+    A busy key is not sorted in one task: each day of it is, and what a day needs to
+    know of the days before (their last event and number of runs) is one short row.
     """
-    order = Window.partitionBy(*keys).orderBy("ms", "source_row")
-    opens = (F.col("ms") - F.lag("ms").over(order) > gap_ms).cast("int")
-    runs = with_millis(log).withColumn("opens", F.coalesce(opens, F.lit(1))).withColumn("run", F.sum("opens").over(order))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "run"))
-    return runs.withColumn("size", size).filter(F.col("size") >= least).drop("opens")
+    day = [*keys, "_day"]
+    order = Window.partitionBy(*day).orderBy("ms", "source_row")
+    inner = (F.col("ms") - F.lag("ms").over(order) > gap_ms).cast("int")
+    rows = with_millis(log).withColumn("_day", F.floor(F.col("ms") / DAY_MS)).withColumn("_opens", F.coalesce(inner, F.lit(0)))
+    before = Window.partitionBy(*keys).orderBy("_day")
+    days = rows.groupBy(*day).agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.sum("_opens").alias("inner"))
+    days = days.withColumn("first", F.coalesce((F.col("lo") - F.lag("hi").over(before) > gap_ms).cast("int"), F.lit(1)))
+    past = F.sum(F.col("inner") + F.col("first")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("base", F.coalesce(past, F.lit(0)) + F.col("first")).select(*day, "base")
+    numbered = rows.withColumn("_within", F.sum("_opens").over(order))
+    joined = numbered.alias("e").join(days.alias("d"), _same(day, "e", "d"))
+    return joined.select("e.*", (F.col("d.base") + F.col("e._within")).alias("run")).drop("_day", "_opens", "_within")
 
 
 def groups(log: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """One row for each run: key, start, end, length and number of events."""
-    return sessions(log, keys, least).groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
+    """One row for each run of ``least`` events or more: key, run, number, start, end, types."""
+    made = runs(log, keys).groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
+    return made.filter(F.col("n") >= least)
+
+
+def sessions(log: DataFrame, keys: list[str], least: int, gap_ms: int = WINDOW_MS) -> DataFrame:
+    """The events of runs of ``least`` events or more; an exact gap joins."""
+    made = runs(log, keys, gap_ms)
+    large = made.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
+    return made.alias("e").join(large.alias("g"), _same([*keys, "run"], "e", "g")).select("e.*", "g.size")
+
+
+def median_gap(log: DataFrame) -> DataFrame:
+    """median_gap_ms: of the gaps between consecutive events of the whole log.
+
+    Equal times have gaps of 0, so the distinct times with their counts are enough;
+    each day is sorted by itself and joined to the last time of the day before.
+    """
+    times = with_millis(log).filter("ms is not null").groupBy("ms").agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.floor(F.col("ms") / DAY_MS))
+    # One short row a day.
+    ends = times.groupBy("day").agg(F.max("ms").alias("hi")).withColumn("before", F.lag("hi").over(Window.orderBy("day"))).select("day", "before")
+    gap = F.col("ms") - F.coalesce(F.lag("ms").over(Window.partitionBy("day").orderBy("ms")), F.col("before"))
+    gaps = times.join(F.broadcast(ends), "day").select(gap.alias("gap"), (F.col("n") - 1).alias("same"))
+    zeros = gaps.agg(F.coalesce(F.sum("same"), F.lit(0)).alias("zeros"), F.count("gap").alias("others"))
+    # Gaps of 0 stand before all others, so a rank among all is one among the others.
+    counts = zeros.first()
+    total = counts.zeros + counts.others
+    if not total:
+        return log.sparkSession.createDataFrame([(None,)], "median_gap_ms double")
+    places = [(total - 1) // 2 - counts.zeros, total // 2 - counts.zeros]
+    found = values_at(gaps.filter("gap is not null"), "gap", {f"v{i}": (lambda n, p=p: F.lit(max(p, 0))) for i, p in enumerate(places)}) if places[1] >= 0 else gaps.limit(1).select(F.lit(0).alias("v0"), F.lit(0).alias("v1"))
+    of = [F.lit(0) if p < 0 else F.col(f"v{i}") for i, p in enumerate(places)]
+    return found.select(((of[0] + of[1]) / 2).cast("double").alias("median_gap_ms"))
 
 
 REPEAT = ["entity_id", "event_type", "value"]
@@ -58,19 +111,12 @@ def rare_types(log: DataFrame) -> DataFrame:
 def value_bounds(log: DataFrame) -> DataFrame:
     """Bounds of the usual values: floor quantiles and 1.5 interquartile ranges.
 
-    Quantile places are found by rank over counted values, so no array of all
-    values is built.
+    Values are taken at ranks, see ``values_at``.
     """
-    valued = log.filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    q = valued.agg(F.sum("n").alias("n"), F.expr("percentile_disc(0.25) within group (order by value)").alias("_"))
-    running = valued.withColumn("upto", F.sum("n").over(Window.orderBy("value"))).join(F.broadcast(q.select(F.col("n").alias("total"))))
-
-    def at(fraction: float):
-        return F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * fraction), F.col("value")))
-
-    quart = running.filter("total >= 4").agg(at(0.25).alias("q1"), at(0.75).alias("q3"))
+    total = log.agg(F.count("value").alias("total"))
+    quart = values_at(log, "value", {"q1": lambda n: F.floor((n - 1) * 0.25), "q3": lambda n: F.floor((n - 1) * 0.75)})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    return quart.select("q1", "q3", F.round(F.col("q1") - reach, 12).alias("low"), F.round(F.col("q3") + reach, 12).alias("high"))
+    return quart.join(F.broadcast(total)).filter("total >= 4").select("q1", "q3", F.round(F.col("q1") - reach, 12).alias("low"), F.round(F.col("q3") + reach, 12).alias("high"))
 
 
 def outliers(log: DataFrame) -> DataFrame:
@@ -88,9 +134,18 @@ def notable(log: DataFrame) -> DataFrame:
     return flagged.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
 
 
+def entity_detail(log: DataFrame, entity: str) -> DataFrame:
+    """One entity: its activity, notable events, clusters and why it is highlighted."""
+    mine = F.col("entity_id") == entity
+    marks = notable(log).filter(mine).agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("notable"))
+    near = groups(log.filter(mine), ["entity_id"], 2).agg(F.count(F.lit(1)).alias("clusters"))
+    why = highlighted(log).filter(mine).agg(F.coalesce(F.max(F.concat_ws(",", F.when(F.col("n") > F.col("median"), "busy"), F.when(F.col("notable") > 0, "notable"))), F.lit("")).alias("reasons"))
+    return entity_activity(log.filter(mine)).join(F.broadcast(marks)).join(F.broadcast(near)).join(F.broadcast(why))
+
+
 def highlighted(log: DataFrame) -> DataFrame:
     """Entities busier than the median, or with notable events."""
     counts = log.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     marks = notable(log).groupBy("entity_id").agg(F.count(F.lit(1)).alias("notable"))
-    middle = counts.agg(F.median("n").alias("median"))
+    middle = medians(counts, "n")
     return counts.join(marks, "entity_id", "left").fillna(0, ["notable"]).join(F.broadcast(middle)).filter((F.col("n") > F.col("median")) | (F.col("notable") > 0))

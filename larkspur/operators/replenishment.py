@@ -369,6 +369,47 @@ def order_deadlines(plan: DataFrame, today: str) -> DataFrame:
     return needed.withColumn("bucket", bucket)
 
 
+def exception_views(plan: DataFrame, views: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A row for each view that an item belongs to: urgent ones, and those by code."""
+    codes = [F.when(F.arrays_overlap("exceptions", F.array(*map(F.lit, held))), F.lit(view)) for view, held in views.items() if held]
+    return plan.withColumn("view", F.explode(F.array_compact(F.array(F.when(F.col("urgency") == "high", F.lit("urgent")), *codes))))
+
+
+def with_names(plan: DataFrame, transactions: DataFrame) -> DataFrame:
+    """``product_name``: that of the last sales row, else the SKU."""
+    names = last_wins(transactions.select(*KEY, "product_name", "row_order"), "row_order")
+    return plan.join(names, KEY, "left").withColumn("product_name", F.coalesce("product_name", "sku"))
+
+
+def order_messages(orders: DataFrame, as_of: str, lines: int) -> DataFrame:
+    """supplier and message: the first lines of its order by SKU, the rest counted.
+
+    ``orders`` has supplier, sku, product_name and quantity.  The lines that are shown
+    are picked by a partial top; totals come from the same aggregation.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    whole = F.col("quantity") == F.floor("quantity")
+    amount = lambda c: F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    item = F.struct(F.col("sku").alias("order"), F.concat(plain("sku"), F.lit(" — "), F.when(whole, F.col("quantity").cast("bigint").cast("string")).otherwise(F.col("quantity").cast("string")), F.lit(" шт. · "), plain("product_name")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("supplier").orderBy("sku"))
+    ranked = orders.filter("quantity > 0").withColumns({"_line": place, "_item": item})
+    shown = F.sort_array(F.collect_list(F.when(F.col("_line") <= lines, F.struct("_line", "_item.text"))))
+    made = ranked.groupBy("supplier").agg(F.transform(shown, lambda x: F.concat(x["_line"].cast("string"), F.lit(". "), x["text"])).alias("details"), F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("total"))
+    more = F.when(F.col("n") > lines, F.concat(F.lit("…ещё "), (F.col("n") - lines).cast("string"), F.lit(" поз. — полный перечень в приложенном CSV.")))
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Заказ поставщику "), "supplier"),
+        F.lit(f"Расчёт на {as_of}"),
+        F.lit(""),
+        F.array_join("details", "\n"),
+        more,
+        F.lit(""),
+        F.concat(F.lit("Итого: "), F.col("n").cast("string"), F.lit(" поз., "), amount(F.col("total")), F.lit(" шт.")),
+        F.lit("Количество подтверждено менеджером. Просьба подтвердить наличие и срок поставки."),
+    )
+    return made.select("supplier", text.alias("message"))
+
+
 def manager_quantity(quantity, multiple):
     """Not negative, rounded up to the order multiple."""
     q = F.greatest(F.lit(0.0), quantity)

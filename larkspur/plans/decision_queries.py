@@ -90,8 +90,8 @@ def _pairs(s: SparkSession, d: str, anchor: str = "revenue") -> DataFrame:
     return joined.filter("x is not null and y is not null").select("signal", F.col("lag").cast("bigint").alias("lag"), F.col("idx").cast("bigint").alias("idx"), "x", "y")
 
 
-QUERIES["lag_self_join"] = lambda s, d: _pairs(s, d).select("signal", "lag", "idx", F.floor("x").cast("bigint").alias("x"), F.floor("y").cast("bigint").alias("y"))
-SQL["lag_self_join"] = f"WITH {V.WEEKLY_SQL} SELECT l.signal, CAST(k.lag AS BIGINT) AS lag, CAST(l.idx AS BIGINT) AS idx, CAST(floor(l.x) AS BIGINT) AS x, CAST(floor(t.x) AS BIGINT) AS y FROM long l CROSS JOIN (SELECT unnest(range(4)) AS lag) k JOIN long t ON t.signal = 'revenue' AND t.idx = l.idx + k.lag WHERE l.signal <> 'revenue' AND k.lag <= floor(l.n_rows / 4)"
+QUERIES["lag_self_join"] = lambda s, d: _pairs(s, d).select("signal", "lag", "idx", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+SQL["lag_self_join"] = f"WITH {V.WEEKLY_SQL} SELECT l.signal, CAST(k.lag AS BIGINT) AS lag, CAST(l.idx AS BIGINT) AS idx, round(l.x, 2) AS x, round(t.x, 2) AS y FROM long l CROSS JOIN (SELECT unnest(range(4)) AS lag) k JOIN long t ON t.signal = 'revenue' AND t.idx = l.idx + k.lag WHERE l.signal <> 'revenue' AND k.lag <= floor(l.n_rows / 4)"
 
 
 def precursor_chain(s: SparkSession, d: str, anchor: str = "revenue") -> DataFrame:
@@ -136,14 +136,29 @@ QUERIES["top5_correlations"] = _correlations
 SQL["top5_correlations"] = f"WITH {V.WEEKLY_SQL}, c AS (SELECT l.signal AS a, t.signal AS b, covar_pop(l.x, t.x) / nullif(stddev_pop(l.x) * stddev_pop(t.x), 0) AS r FROM long l JOIN long t ON l.idx = t.idx AND l.signal < t.signal GROUP BY 1, 2) SELECT a, b, round(coalesce(r, 0), 6) AS r FROM c ORDER BY round(abs(coalesce(r, 0)), 9) DESC, a, b LIMIT 5"
 
 
-def _cadence(s: SparkSession, d: str) -> DataFrame:
-    gap = F.date_diff("week", F.lag("week").over(Window.orderBy("week")))
-    gaps = V.weekly(s, d).select(gap.alias("gap"))
-    return gaps.agg(F.count("gap").cast("bigint").alias("gaps"), F.when(F.bool_and(F.col("gap") == 7), "weekly").otherwise("other").alias("cadence"))
+def _cadence(s: SparkSession, d: str, days: DataFrame | None = None) -> DataFrame:
+    """weekly if all gaps are 7 days, monthly if all are a month on the same or the
+    last day, else unknown.  A series is a few thousand periods at most."""
+    order = Window.orderBy("day")
+    days = V.weekly(s, d).select(F.col("week").alias("day")) if days is None else days
+    gaps = days.select("day", F.lag("day").over(order).alias("before")).filter("before is not null")
+    month = (F.add_months("before", 1) == F.col("day")) | ((F.last_day("day") == F.col("day")) & (F.last_day(F.add_months("before", 1)) == F.col("day")))
+    kind = F.when(F.count(F.lit(1)) == 0, "unknown").when(F.bool_and(F.date_diff("day", "before") == 7), "weekly").when(F.bool_and(month), "monthly").otherwise("unknown")
+    return gaps.agg(F.count(F.lit(1)).cast("bigint").alias("gaps"), kind.alias("cadence"))
 
 
-QUERIES["cadence"] = _cadence
-SQL["cadence"] = f"WITH {V.WEEKLY_SQL}, g AS (SELECT date_diff('day', lag(week) OVER (ORDER BY week), week) AS gap FROM weekly) SELECT CAST(count(gap) AS BIGINT) AS gaps, CASE WHEN bool_and(gap = 7) THEN 'weekly' ELSE 'other' END AS cadence FROM g"
+def _months(s: SparkSession, d: str) -> DataFrame:
+    return V.table(s, d, "orders").select(F.last_day(F.col("o_orderdate").cast("date")).alias("day")).distinct()
+
+
+def _odd_days(s: SparkSession, d: str) -> DataFrame:
+    return V.weekly(s, d).select(F.when(F.month("week") == 3, F.date_add("week", 1)).otherwise(F.col("week")).alias("day"))
+
+
+QUERIES["cadence"] = lambda s, d: _cadence(s, d).withColumn("series", F.lit("week")).unionByName(_cadence(s, d, _months(s, d)).withColumn("series", F.lit("month"))).unionByName(_cadence(s, d, _odd_days(s, d)).withColumn("series", F.lit("odd")))
+SQL["cadence"] = f"""WITH {V.WEEKLY_SQL}, days AS (SELECT 'week' AS series, week AS day FROM weekly UNION ALL SELECT DISTINCT 'month', last_day(o_orderdate) FROM orders UNION ALL SELECT 'odd', CASE WHEN month(week) = 3 THEN week + 1 ELSE week END FROM weekly),
+g AS (SELECT series, day, lag(day) OVER (PARTITION BY series ORDER BY day) AS before FROM days)
+SELECT series, CAST(count(before) AS BIGINT) AS gaps, CASE WHEN bool_and(date_diff('day', before, day) = 7) THEN 'weekly' WHEN bool_and(CAST(before + INTERVAL 1 MONTH AS DATE) = day OR (last_day(day) = day AND last_day(CAST(before + INTERVAL 1 MONTH AS DATE)) = day)) THEN 'monthly' ELSE 'unknown' END AS cadence FROM g WHERE before IS NOT NULL GROUP BY 1"""
 
 # -- scenarios --------------------------------------------------------------
 

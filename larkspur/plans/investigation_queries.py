@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.columns import pearson
+from larkspur.functions.columns import clamp, pearson, percentage_change
+from larkspur.functions.quantiles import medians, values_at
 from larkspur.operators import events as E
 from larkspur.plans import views as V
 
@@ -36,7 +37,7 @@ QUERIES["entity_activity"] = lambda s, d: _longs(E.entity_activity(_log(s, d)),
 SQL["entity_activity"] = f"{_LOG} SELECT entity_id, CAST(count(*) AS BIGINT) AS n, min(ms) AS first_ms, max(ms) AS last_ms, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM ms GROUP BY 1"
 QUERIES["event_profile"] = lambda s, d: _longs(E.profile(_log(s, d)), "ids", "duplicates", "entities", "invalid")
 SQL["event_profile"] = f'{_LOG} SELECT CAST(count(DISTINCT event_id) AS BIGINT) AS ids, CAST(count(event_id) - count(DISTINCT event_id) AS BIGINT) AS duplicates, CAST(count(DISTINCT entity_id) AS BIGINT) AS entities, CAST(count(*) FILTER (micros IS NULL) AS BIGINT) AS invalid, min(micros) AS "first", max(micros) AS "last" FROM log'
-for _name, _keys, _least in (("bursts", ["entity_id"], 3), ("clusters", ["entity_id"], 2), ("type_bursts", ["event_type"], 3), ("repeated_patterns", E.REPEAT, 2), ("gap_sessions", ["event_type"], 2)):
+for _name, _keys, _least in (("bursts", ["entity_id"], 3), ("clusters", ["entity_id"], 2), ("type_bursts", ["event_type"], 3), ("repeated_patterns", E.REPEAT, 2), ("gap_sessions", ["entity_id"], 1)):
 
     def _grouped(s: SparkSession, d: str, keys=tuple(_keys), least=_least) -> DataFrame:
         return _longs(E.groups(_log(s, d), list(keys), least), "n").select(*keys, "n", "start_ms", (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), "types")
@@ -62,8 +63,12 @@ QUERIES["highlighted_entities"] = lambda s, d: _longs(E.highlighted(_log(s, d)),
 SQL["highlighted_entities"] = f"{_LOG}, {_FLAGS}, c AS (SELECT entity_id, count(*) AS n FROM log GROUP BY 1), m AS (SELECT entity_id, count(*) AS k FROM notable GROUP BY 1) SELECT entity_id, CAST(n AS BIGINT) AS n, CAST(coalesce(k, 0) AS BIGINT) AS notable FROM c LEFT JOIN m USING (entity_id) WHERE n > (SELECT median(n) FROM c) OR k > 0"
 QUERIES["event_lookup"] = lambda s, d: _log(s, d).filter("event_id = '17'").select("event_id", "entity_id", "event_type", "value")
 SQL["event_lookup"] = f"{_LOG} SELECT event_id, entity_id, event_type, value FROM log WHERE event_id = '17'"
-QUERIES["entity_lookup"] = lambda s, d: _longs(E.entity_activity(_log(s, d).filter("entity_id = '7'")), "n")
-SQL["entity_lookup"] = SQL["entity_activity"].replace("FROM ms GROUP BY", "FROM ms WHERE entity_id = '7' GROUP BY")
+QUERIES["entity_lookup"] = lambda s, d: _longs(E.entity_detail(_log(s, d), "7"), "n", "clusters")
+SQL["entity_lookup"] = f"""{_LOG}, {_FLAGS}, c AS (SELECT entity_id, count(*) AS n FROM log GROUP BY 1), {_runs('entity_id', 2).replace('o AS', 'o2 AS').replace('r AS', 'r2 AS').replace('FROM o)', 'FROM o2)').replace('z AS', 'z2 AS').replace('FROM r)', 'FROM r2)').replace('runs AS', 'near AS').replace('FROM z WHERE', 'FROM z2 WHERE')}
+SELECT entity_id, CAST(count(*) AS BIGINT) AS n, min(ms) AS first_ms, max(ms) AS last_ms, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, (SELECT coalesce(string_agg(event_id, ',' ORDER BY event_id), '') FROM notable WHERE entity_id = '7') AS notable,
+(SELECT CAST(count(DISTINCT run) AS BIGINT) FROM near WHERE entity_id = '7') AS clusters, array_to_string(list_filter([CASE WHEN count(*) > (SELECT median(n) FROM c) THEN 'busy' END, CASE WHEN EXISTS (SELECT 1 FROM notable WHERE entity_id = '7') THEN 'notable' END], lambda x: x IS NOT NULL), ',') AS reasons FROM ms WHERE entity_id = '7' GROUP BY entity_id"""
+QUERIES["median_gap"] = lambda s, d: E.median_gap(_log(s, d))
+SQL["median_gap"] = f"{_LOG} SELECT median(gap) AS median_gap_ms FROM (SELECT ms - lag(ms) OVER (ORDER BY ms, source_row) AS gap FROM ms)"
 
 # -- cross-section ---------------------------------------------------------
 
@@ -76,7 +81,15 @@ def _long_numbers(s: SparkSession, d: str) -> DataFrame:
 
 
 _CS = f"WITH {V.CUSTOMERS_SQL}, nums AS (SELECT customer_id, name, x FROM customers CROSS JOIN LATERAL (VALUES ('balance', balance), ('n_orders', n_orders), ('spent', spent), ('priorities', priorities)) t(name, x)), cats AS (SELECT customer_id, name, x FROM customers CROSS JOIN LATERAL (VALUES ('segment', segment), ('region', region)) t(name, x))"
-QUERIES["numeric_summary"] = lambda s, d: _long_numbers(s, d).groupBy("name").agg(F.count("x").cast("bigint").alias("n"), F.count_if(F.col("x").isNull()).cast("bigint").alias("missing"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.median("x"), 4).alias("median"), F.round(F.stddev_pop("x"), 4).alias("deviation"))
+QUERIES["numeric_summary"] = lambda s, d: _numeric_summary(_long_numbers(s, d))
+
+
+def _numeric_summary(long: DataFrame) -> DataFrame:
+    """Counts, bounds and moments by column, and the median from ranks."""
+    stats = long.groupBy("name").agg(F.count("x").cast("bigint").alias("n"), F.count_if(F.col("x").isNull()).cast("bigint").alias("missing"), F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("deviation"))
+    return stats.join(medians(long, "x", ["name"]).withColumn("median", F.round("median", 4)), "name", "left")
+
+
 SQL["numeric_summary"] = f"{_CS} SELECT name, CAST(count(x) AS BIGINT) AS n, CAST(count(*) - count(x) AS BIGINT) AS missing, min(x) AS low, max(x) AS high, round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_pop(x), 4) AS deviation FROM nums GROUP BY 1"
 QUERIES["categorical_summary"] = lambda s, d: V.customers(s, d).select("customer_id", *_CATEGORIES).unpivot("customer_id", list(_CATEGORIES), "name", "x").groupBy("name", "x").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 SQL["categorical_summary"] = f"{_CS} SELECT name, x, CAST(count(*) AS BIGINT) AS n FROM cats GROUP BY ALL"
@@ -100,14 +113,28 @@ SQL["pearson"] = f"{_CS} SELECT CAST(count(*) AS BIGINT) AS n, round(covar_pop(n
 QUERIES["high_risk_numeric"] = lambda s, d: _at_least_p75(V.customers(s, d))
 
 
-def _at_least_p75(df: DataFrame) -> DataFrame:
-    bound = df.agg(F.expr("percentile_disc(0.75) within group (order by spent)").alias("bound"))
-    return df.join(F.broadcast(bound)).filter("spent >= bound").select("customer_id", "spent", "bound")
+#: Context flags and their bounds; they do not change the ranking.
+_CONTEXT = {"dti": "dti >= 0.4", "current": "current > 0", "history": "history > 0", "rating": "rating < 600"}
+_CONTEXT_COLUMNS = {"dti": "round(abs(balance) / 10000, 4)", "current": "CASE WHEN balance < 0 THEN 1 ELSE 0 END", "history": "customer_id % 3", "rating": "500 + customer_id % 300"}
 
 
-SQL["high_risk_numeric"] = f"{_CS} SELECT customer_id, spent, (SELECT quantile_disc(spent, 0.75) FROM customers) AS bound FROM customers WHERE spent >= (SELECT quantile_disc(spent, 0.75) FROM customers)"
-QUERIES["high_risk_categorical"] = lambda s, d: V.table(s, d, "orders").filter(F.upper(F.split("o_orderpriority", "-")[1]).isin("HIGH", "CRITICAL", "YES")).select("o_orderkey", "o_orderpriority")
-SQL["high_risk_categorical"] = "SELECT o_orderkey, o_orderpriority FROM orders WHERE upper(split_part(o_orderpriority, '-', 2)) IN ('HIGH', 'CRITICAL', 'YES')"
+def _at_least_p75(df: DataFrame) -> DataFrame:
+    """Rows at or above the value at place ceil(3n/4), with their context flags."""
+    bound = values_at(df, "spent", {"bound": lambda n: F.ceil(n * 0.75) - 1})
+    flags = F.array_join(F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in _CONTEXT.items()])), ",")
+    rows = df.withColumns({name: F.expr(e) for name, e in _CONTEXT_COLUMNS.items()}).join(F.broadcast(bound))
+    return rows.filter("spent >= bound").select("customer_id", "spent", "bound", flags.alias("flags"))
+
+
+SQL["high_risk_numeric"] = f"""{_CS}, s AS (SELECT list_sort(list(spent)) AS v, count(spent) AS n FROM customers WHERE spent IS NOT NULL), b AS (SELECT v[CAST(ceil(n * 0.75) AS INTEGER)] AS bound FROM s),
+f AS (SELECT *, {", ".join(f"{e} AS {name}" for name, e in _CONTEXT_COLUMNS.items())} FROM customers)
+SELECT customer_id, spent, bound, array_to_string(list_filter([{", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in _CONTEXT.items())}], lambda x: x IS NOT NULL), ',') AS flags FROM f, b WHERE spent >= bound"""
+#: Labels of high risk.
+_HIGH = ("HIGH", "HIGH_RISK", "CRITICAL", "YES", "TRUE", "1", "ВЫСОКИЙ", "КРИТИЧЕСКИЙ", "ДА")
+#: Orders with a label each, in every spelling.
+_LABELLED = "element_at(array('high', 'Low', 'critical', 'High_Risk', 'no', 'yes', 'true', '1', 'высокий', 'средний', 'Критический', 'да'), cast(o_orderkey % 12 as int) + 1)"
+QUERIES["high_risk_categorical"] = lambda s, d: V.table(s, d, "orders").withColumn("label", F.expr(_LABELLED)).filter(F.upper("label").isin(*_HIGH)).select("o_orderkey", "label")
+SQL["high_risk_categorical"] = f"SELECT o_orderkey, label FROM (SELECT o_orderkey, {_LABELLED.replace('element_at(array(', '([').replace('), cast(o_orderkey % 12 as int) + 1)', '])[o_orderkey % 12 + 1]')} AS label FROM orders) WHERE upper(label) IN {_HIGH}"
 QUERIES["prevalence"] = lambda s, d: V.customers(s, d).agg(F.round(F.avg((F.coalesce("n_orders", F.lit(0.0)) > 10).cast("double")), 9).alias("rate"))
 SQL["prevalence"] = f"{_CS} SELECT round(avg(CASE WHEN coalesce(n_orders, 0) > 10 THEN 1.0 ELSE 0.0 END), 9) AS rate FROM customers"
 
@@ -135,10 +162,31 @@ QUERIES["inspect_series"] = lambda s, d: _series(s, d).groupBy("signal").agg(F.c
 SQL["inspect_series"] = f"{_TS} SELECT signal, CAST(count(x) AS BIGINT) AS n, round(arg_max(x, idx), 4) AS latest, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS sd FROM long GROUP BY 1"
 QUERIES["zscore_outlier_count"] = lambda s, d: _series(s, d).withColumns({"m": F.avg("x").over(Window.partitionBy("signal")), "sd": F.stddev_pop("x").over(Window.partitionBy("signal"))}).groupBy("signal").agg(F.count_if(F.abs(F.try_divide(F.col("x") - F.col("m"), "sd")) >= 1.5).cast("bigint").alias("n"))
 SQL["zscore_outlier_count"] = f"{_TS} SELECT signal, CAST(count(*) FILTER (abs(z) >= 1.5) AS BIGINT) AS n FROM (SELECT signal, (x - avg(x) OVER (PARTITION BY signal)) / nullif(stddev_pop(x) OVER (PARTITION BY signal), 0) AS z FROM long) GROUP BY 1"
-QUERIES["rolling_statistics"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(F.avg("x").over(Window.partitionBy("signal").orderBy("idx").rowsBetween(-3, 0)), 6).alias("mean"))
-SQL["rolling_statistics"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(avg(x) OVER (PARTITION BY signal ORDER BY idx ROWS 3 PRECEDING), 6) AS mean FROM long"
-QUERIES["percentage_change"] = lambda s, d: _series(s, d).withColumn("p", F.lag("x").over(Window.partitionBy("signal").orderBy("idx"))).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(F.try_divide(F.col("x") - F.col("p"), F.abs("p")) * 100, 6).alias("change"))
-SQL["percentage_change"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round((x - lag(x) OVER w) / nullif(abs(lag(x) OVER w), 0) * 100, 6) AS change FROM long WINDOW w AS (PARTITION BY signal ORDER BY idx)"
+_TRAIL = Window.partitionBy("signal").orderBy("idx").rowsBetween(-3, 0)
+QUERIES["rolling_statistics"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(F.avg("x").over(_TRAIL), 2).alias("mean"), F.round(F.stddev_pop("x").over(_TRAIL), 1).alias("deviation"))
+SQL["rolling_statistics"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(avg(x) OVER w, 2) AS mean, round(stddev_pop(x) OVER w, 1) AS deviation FROM long WINDOW w AS (PARTITION BY signal ORDER BY idx ROWS 3 PRECEDING)"
+QUERIES["percentage_change"] = lambda s, d: _series(s, d).withColumn("p", F.lag("x").over(Window.partitionBy("signal").orderBy("idx"))).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(percentage_change(F.col("p"), F.col("x")), 6).alias("change"))
+SQL["percentage_change"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(CASE WHEN p = 0 THEN 0 ELSE (x - p) / abs(p) END, 6) AS change FROM (SELECT *, lag(x) OVER (PARTITION BY signal ORDER BY idx) AS p FROM long)"
+_ALL = Window.partitionBy("signal")
+_Z = F.coalesce(F.try_divide(F.col("x") - F.avg("x").over(_ALL), F.stddev_pop("x").over(_ALL)), F.lit(0.0))
+_Z_SQL = "coalesce((x - avg(x) OVER (PARTITION BY signal)) / nullif(stddev_pop(x) OVER (PARTITION BY signal), 0), 0)"
+QUERIES["z_score"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(_Z, 6).alias("z"))
+SQL["z_score"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round({_Z_SQL}, 6) AS z FROM long"
+QUERIES["anomaly_score"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(clamp(F.abs(_Z) / 20, 0.0, 1.0), 6).alias("score"))
+SQL["anomaly_score"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(least(1.0, greatest(0.0, abs({_Z_SQL}) / 20)), 6) AS score FROM long"
+QUERIES["temporal_consistency"] = lambda s, d: _consistency(_series(s, d))
+
+
+def _consistency(long: DataFrame) -> DataFrame:
+    """Shares of steps that do not fall, and that do not rise; 0 below two values."""
+    steps = long.withColumn("p", F.lag("x").over(Window.partitionBy("signal").orderBy("idx")))
+    share = lambda held: F.round(F.coalesce(F.try_divide(F.count_if(held), F.count("p")), F.lit(0.0)), 6)
+    return steps.groupBy("signal").agg(share(F.col("x") >= F.col("p")).alias("rising"), share(F.col("x") <= F.col("p")).alias("falling"))
+
+
+SQL["temporal_consistency"] = f"{_TS} SELECT signal, round(coalesce(CAST(count(*) FILTER (x >= p) AS DOUBLE) / nullif(count(p), 0), 0), 6) AS rising, round(coalesce(CAST(count(*) FILTER (x <= p) AS DOUBLE) / nullif(count(p), 0), 0), 6) AS falling FROM (SELECT *, lag(x) OVER (PARTITION BY signal ORDER BY idx) AS p FROM long) GROUP BY 1"
+QUERIES["top3_candidates"] = lambda s, d: _findings(_series(s, d)).orderBy(F.desc(F.abs("z")), "signal").limit(3).select("signal", "z")
+SQL["top3_candidates"] = f"{SQL['generic_finding'].replace('SELECT * FROM', 'SELECT signal, z FROM', 1)} ORDER BY abs(z) DESC, signal LIMIT 3"
 QUERIES["directional_movement"] = lambda s, d: _moves(_series(s, d))
 
 

@@ -213,9 +213,7 @@ _query("gap_days", "recommended", _K | _n("gap_days"), "rec", gap_days="CASE WHE
 _query("urgency", "recommended", _K | {"urgency": "urgency"}, "rec")
 _query("exceptions", "recommended", _K | {"exceptions": "array_join(exceptions, ',')"}, "rec", exceptions="array_to_string(exceptions, ',')")
 _query("spike_order_impact", "recommended", _K | _r("spike_order_impact"), "rec")
-_query("product_name", "recommended", _K | {"label": "concat(sku, ' / ', supplier)"}, "rec")
 _query("recommended_positive", "recommended", _K | _r("recommended_order"), "rec", where="recommended_order > 0")
-_query("text_search_filter", "recommended", _K | _r("recommended_order"), "rec", where="contains(lower(concat_ws(' ', sku, supplier)), 'eco')")
 
 
 def _rec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +244,24 @@ QUERIES["today_top8"] = lambda spark, d: _rec(spark, d).filter("recommended_orde
 SQL["today_top8"] = _sql(f"SELECT supplier, sku, urgency, stockout_date FROM rec WHERE recommended_order > 0 ORDER BY {_RANK}, coalesce(stockout_date, DATE '9999-12-31'), supplier, sku LIMIT 8")
 QUERIES["visible_sort"] = lambda spark, d: _rec(spark, d).select("supplier", "sku", F.expr(f"cast({_RANK} as bigint)").alias("rank"), F.round("recommended_order", 6).alias("recommended_order")).orderBy("rank", F.desc("recommended_order"))
 SQL["visible_sort"] = _sql(f"SELECT supplier, sku, CAST({_RANK} AS BIGINT) AS rank, round(recommended_order, 6) AS recommended_order FROM rec ORDER BY 3, 4 DESC")
-QUERIES["exception_view_filter"] = lambda spark, d: _rec(spark, d).filter(F.arrays_overlap("exceptions", F.array(F.lit("one_off_spike"), F.lit("sustained_growth_signal"), F.lit("stockout")))).select("supplier", "sku")
-SQL["exception_view_filter"] = _sql("SELECT supplier, sku FROM rec WHERE list_has_any(exceptions, ['one_off_spike', 'sustained_growth_signal', 'stockout'])")
+#: The views of a plan beside that of all, and the codes that they hold.
+VIEWS = {"urgent": (), "anomaly": ("stockout", "one_off_spike", "sustained_growth_signal", "slow_stock", "dead_stock"), "supply": ("unknown_eta", "inbound_after_horizon"), "surplus": ("surplus",)}
+QUERIES["exception_view_filter"] = lambda spark, d: R.exception_views(_rec(spark, d), VIEWS).select("supplier", "sku", "view")
+SQL["exception_view_filter"] = _sql("SELECT supplier, sku, unnest(list_filter([CASE WHEN urgency = 'high' THEN 'urgent' END, " + ", ".join(f"CASE WHEN list_has_any(exceptions, {list(codes)}) THEN '{view}' END" for view, codes in VIEWS.items() if codes) + "], lambda x: x IS NOT NULL)) AS view FROM rec")
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan with product names: that of the last sales row, else the SKU."""
+    plan = Plan(spark, sf_dir)
+    past = plan.transactions.filter(F.col("month") <= V.AS_OF).filter("length(trim(product_name)) > 0")
+    return R.with_names(plan.recommended, past)
+
+
+_NAMES = f"names AS (SELECT supplier, sku, arg_max(product_name, rn) AS product_name FROM upto WHERE trim(product_name) <> '' GROUP BY ALL), named AS (SELECT rec.*, coalesce(product_name, rec.sku) AS product_name FROM rec LEFT JOIN names USING (supplier, sku))"
+QUERIES["product_name"] = lambda spark, d: _named(spark, d).select("supplier", "sku", "product_name")
+SQL["product_name"] = _sql(f", {_NAMES} SELECT supplier, sku, product_name FROM named")
+QUERIES["text_search_filter"] = lambda spark, d: _named(spark, d).filter(F.contains(F.lower(F.concat_ws(" ", "sku", "product_name", "supplier")), F.lit("al"))).select("supplier", "sku", F.round("recommended_order", 6).alias("recommended_order"))
+SQL["text_search_filter"] = _sql(f", {_NAMES} SELECT supplier, sku, round(recommended_order, 6) AS recommended_order FROM named WHERE contains(lower(concat_ws(' ', sku, product_name, supplier)), 'al')")
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,27 +277,24 @@ SQL["price_coverage"] = _sql("SELECT CAST(count(price) AS BIGINT) AS priced, CAS
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed manager quantities: even suppliers raise the order by 10 units."""
-    rec = _rec(spark, sf_dir)
+    rec = _named(spark, sf_dir)
     decisions = V.series(spark, sf_dir).filter("cast(supplier as int) % 2 = 0").select("supplier", "sku", F.lit(10.0).alias("extra"))
-    return rec.join(decisions, ["supplier", "sku"]).select("supplier", "sku", R.manager_quantity(F.col("recommended_order") + F.col("extra"), F.col("multiple")).alias("quantity")).filter("quantity > 0")
+    return rec.join(decisions, ["supplier", "sku"]).select("supplier", "sku", "product_name", R.manager_quantity(F.col("recommended_order") + F.col("extra"), F.col("multiple")).alias("quantity")).filter("quantity > 0")
 
 
-_DECIDED = "decided AS (SELECT supplier, sku, CASE WHEN multiple > 0 THEN ceil((recommended_order + 10) / multiple) * multiple ELSE recommended_order + 10 END AS quantity FROM rec WHERE CAST(supplier AS INTEGER) % 2 = 0)"
+_DECIDED = f"{_NAMES}, decided AS (SELECT supplier, sku, product_name, CASE WHEN multiple > 0 THEN ceil((recommended_order + 10) / multiple) * multiple ELSE recommended_order + 10 END AS quantity FROM named WHERE CAST(supplier AS INTEGER) % 2 = 0)"
 QUERIES["decision_join"] = lambda spark, d: _decided(spark, d).select("supplier", "sku", F.round("quantity", 6).alias("quantity"))
 SQL["decision_join"] = _sql(f", {_DECIDED} SELECT supplier, sku, round(quantity, 6) AS quantity FROM decided WHERE quantity > 0")
 QUERIES["confirmed_orders_group"] = lambda spark, d: _decided(spark, d).groupBy("supplier").agg(F.count(F.lit(1)).cast("bigint").alias("lines"), F.round(F.sum("quantity"), 4).alias("total"))
 SQL["confirmed_orders_group"] = _sql(f", {_DECIDED} SELECT supplier, CAST(count(*) AS BIGINT) AS lines, round(sum(quantity), 4) AS total FROM decided WHERE quantity > 0 GROUP BY supplier")
 
 
-def _message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    numbered = _decided(spark, sf_dir).withColumn("line", F.row_number().over(Window.partitionBy("supplier").orderBy("sku")))
-    return numbered.filter("line <= 25").select("supplier", F.col("line").cast("bigint").alias("line"), F.concat_ws(" ", F.concat(F.col("line").cast("string"), F.lit(".")), "sku", F.concat(F.lit("x"), F.round("quantity").cast("bigint").cast("string"))).alias("text"))
-
-
-QUERIES["order_message_lines"] = _message
-SQL["order_message_lines"] = _sql(f", {_DECIDED}, numbered AS (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY sku) AS line FROM decided WHERE quantity > 0) SELECT supplier, CAST(line AS BIGINT) AS line, line || '. ' || sku || ' x' || CAST(round(quantity) AS BIGINT) AS text FROM numbered WHERE line <= 25")
+#: Lines of a message before the rest is only counted.
+LINES = 4
+QUERIES["order_message_lines"] = lambda spark, d: R.order_messages(_decided(spark, d), V.AS_OF, LINES)
+SQL["order_message_lines"] = _sql(f""", {_DECIDED}, lines AS (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY sku) AS line FROM decided WHERE quantity > 0),
+m AS (SELECT supplier, string_agg(line || '. ' || trim(regexp_replace(sku, '\\s+', ' ', 'g')) || ' — ' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) || ' шт. · ' || trim(regexp_replace(product_name, '\\s+', ' ', 'g')), chr(10) ORDER BY line) FILTER (line <= {LINES}) AS details, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS total FROM lines GROUP BY supplier)
+SELECT supplier, 'Заказ поставщику ' || supplier || chr(10) || 'Расчёт на {V.AS_OF}' || chr(10) || chr(10) || details || CASE WHEN n > {LINES} THEN chr(10) || '…ещё ' || (n - {LINES}) || ' поз. — полный перечень в приложенном CSV.' ELSE '' END || chr(10) || chr(10) || 'Итого: ' || n || ' поз., ' || total || ' шт.' || chr(10) || 'Количество подтверждено менеджером. Просьба подтвердить наличие и срок поставки.' AS message FROM m""")
 
 _BATCH = """batches AS (SELECT CAST(l_suppkey AS VARCHAR) AS supplier, p_type AS sku, CASE WHEN l_linenumber = 6 THEN NULL ELSE n_name END AS warehouse, l_quantity AS quantity, round(l_discount * 1000, 3) AS pct, l_returnflag = 'R' AS expired
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey), ok AS (SELECT *, NOT expired AND pct >= 30 AS good FROM batches)"""

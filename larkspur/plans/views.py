@@ -31,7 +31,7 @@ def _quantity() -> Column:
 
 
 def transactions(spark: SparkSession, sf_dir: str, grain: str = "p_type") -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col(grain).alias("sku"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col(grain).alias("sku"), F.col("p_name").alias("product_name"))
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
     return items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_suppkey").cast("string").alias("supplier"),
@@ -41,6 +41,7 @@ def transactions(spark: SparkSession, sf_dir: str, grain: str = "p_type") -> Dat
         F.when(F.col("l_linenumber") == 7, "").otherwise(F.col("l_orderkey").cast("string")).alias("invoice_number"),
         _quantity().alias("units_sold"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey").alias("row_order"),
+        "product_name",
     )
 
 
@@ -152,8 +153,14 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str, entity: str = "user_id") -> DataFrame:
-    """event_id, entity_id, micros, event_type, value, source_row."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col(entity).cast("string").alias("entity_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_type", "value", F.col("event_id").alias("source_row"))
+    """event_id, entity_id, micros, event_type, value, source_row.
+
+    Time runs sixty times as fast, a few events are of a rare type, values come in
+    steps and some lie far out, so that bursts, repeats and outliers occur.
+    """
+    rare = F.when(F.col("event_id") % 50 == 7, "manual_review").otherwise(F.col("event_type"))
+    value = F.floor(F.col("value") / 50) * 50.0 + F.when(F.col("event_id") % 97 == 5, 100000.0).otherwise(0.0)
+    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col(entity).cast("string").alias("entity_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60).cast("long").alias("micros"), rare.alias("event_type"), value.alias("value"), F.col("event_id").alias("source_row"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +193,7 @@ SQL = f"""
 tx AS (SELECT CAST(l_suppkey AS VARCHAR) AS supplier, CAST(l_suppkey AS INTEGER) AS s, {{grain}} AS sku, l_shipdate AS occurred_at,
     strftime(l_shipdate, '%Y-%m') AS month, CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(l_orderkey AS VARCHAR) END AS invoice_number,
     l_quantity * CASE WHEN l_shipdate >= TIMESTAMP '2000-10-01' AND l_shipdate < TIMESTAMP '{AFTER}' AND l_suppkey % 77 % 11 = 5 THEN CAST(0.0625 AS DOUBLE) WHEN l_shipdate >= TIMESTAMP '2000-10-01' AND l_shipdate < TIMESTAMP '{AFTER}' AND l_suppkey % 77 % 11 = 6 THEN 0.25
-      WHEN l_shipdate >= TIMESTAMP '2000-10-01' AND l_shipdate < TIMESTAMP '{AFTER}' AND l_suppkey % 77 % 7 = 3 AND l_orderkey % 4 = 0 THEN 16 WHEN l_orderkey % 61 = 0 THEN 16 ELSE 1 END AS units_sold, l_orderkey, l_linenumber, l_partkey, l_shipdate
+      WHEN l_shipdate >= TIMESTAMP '2000-10-01' AND l_shipdate < TIMESTAMP '{AFTER}' AND l_suppkey % 77 % 7 = 3 AND l_orderkey % 4 = 0 THEN 16 WHEN l_orderkey % 61 = 0 THEN 16 ELSE 1 END AS units_sold, l_orderkey, l_linenumber, l_partkey, l_shipdate, p_name AS product_name
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 sums AS (SELECT supplier, s, sku, month, sum(units_sold) AS units_sold FROM tx GROUP BY ALL),
 monthly AS ({{monthly}}),
@@ -221,4 +228,4 @@ weeks AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, CAST(cou
 weekly AS (SELECT *, row_number() OVER (ORDER BY week) - 1 AS idx, count(*) OVER () AS n_rows FROM weeks),
 long AS (UNPIVOT (SELECT idx, n_rows, n_orders, revenue, mean_price, urgent, finished, customers FROM weekly) ON n_orders, revenue, mean_price, urgent, finished, customers INTO NAME signal VALUE x)"""
 EVENTS_SQL = """
-log AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST({entity} AS VARCHAR) AS entity_id, epoch_us(ts) AS micros, event_type, value, event_id AS source_row FROM events)"""
+log AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST({entity} AS VARCHAR) AS entity_id, epoch_us(ts) // 60 AS micros, CASE WHEN event_id % 50 = 7 THEN 'manual_review' ELSE event_type END AS event_type, floor(value / 50) * 50 + CASE WHEN event_id % 97 = 5 THEN 100000 ELSE 0 END AS value, event_id AS source_row FROM events)"""
