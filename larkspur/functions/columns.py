@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAYS_PER_MONTH = 30.4375
@@ -52,6 +52,15 @@ def pearson(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
+def bounded_ids(rows: DataFrame, column: str, order: list[str], most: int = 12) -> DataFrame:
+    """ids: the number of ids, the first of them, and how many more there are."""
+    first = rows.orderBy(*order).limit(most).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("_id")))), lambda x: x["_id"]).alias("first"))
+    total = rows.agg(F.count(column).alias("n"))
+    shown = F.when(F.size("first") > 0, F.concat(F.lit(" · "), F.array_join("first", ", "))).otherwise("")
+    more = F.when(F.col("n") > most, F.concat(F.lit(" … (ещё "), (F.col("n") - most).cast("string"), F.lit(")"))).otherwise("")
+    return total.join(F.broadcast(first)).select(F.concat(F.col("n").cast("string"), F.lit(" ID"), shown, more).alias("ids"))
+
+
 def percentage_change(before: Column, now: Column) -> Column:
     """Change as a fraction of the value before; 0 where that is 0."""
     return F.when(before == 0, 0.0).otherwise(F.try_divide(now - before, F.abs(before)))

@@ -184,17 +184,6 @@ SQL["scenario_sweep"] = f"{_GRID}, r AS (SELECT customer_id, min(change_pct) FIL
 _PROFILED = ("segment", "region", "balance", "n_orders", "spent", "priorities")
 
 
-def _column_profile(s: SparkSession, d: str) -> DataFrame:
-    """All columns in one aggregation."""
-    rows = V.customers(s, d).withColumns({c: F.col(c).cast("string") for c in ("segment", "region")})
-    of = [F.struct(F.lit(c).alias("name"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(F.col(c)).alias("n_values"), F.count(c).alias("n")).alias(c) for c in _PROFILED]
-    return rows.agg(*of).select(F.explode(F.array(*_PROFILED)).alias("p")).select("p.name", *[F.col(f"p.{c}").cast("bigint").alias(c) for c in ("n", "missing", "n_values")])
-
-
-QUERIES["column_profile"] = _column_profile
-SQL["column_profile"] = f"WITH {V.CUSTOMERS_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(count({c}) AS BIGINT) AS n, CAST(count(*) - count({c}) AS BIGINT) AS missing, CAST(count(DISTINCT {c}) AS BIGINT) AS n_values FROM customers" for c in _PROFILED)
-QUERIES["dataset_profile"] = lambda s, d: V.customers(s, d).groupBy("segment", "region", "priorities").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").cast("bigint").alias("n_rows"), F.sum(F.col("k") - 1).cast("bigint").alias("duplicates"))
-SQL["dataset_profile"] = f"WITH {V.CUSTOMERS_SQL}, g AS (SELECT count(*) AS k FROM customers GROUP BY segment, region, priorities) SELECT CAST(sum(k) AS BIGINT) AS n_rows, CAST(sum(k - 1) AS BIGINT) AS duplicates FROM g"
 QUERIES["missing_count"] = lambda s, d: V.customers(s, d).agg(*[F.count_if(F.col(c).isNull()).cast("bigint").alias(c) for c in _PROFILED])
 SQL["missing_count"] = f"WITH {V.CUSTOMERS_SQL} SELECT " + ", ".join(f"CAST(count(*) - count({c}) AS BIGINT) AS {c}" for c in _PROFILED) + " FROM customers"
 QUERIES["numeric_pairs"] = lambda s, d: V.customers(s, d).filter("spent is not null and balance is not null").select("customer_id", "spent", "balance")

@@ -163,8 +163,8 @@ SQL["inspect_series"] = f"{_TS} SELECT signal, CAST(count(x) AS BIGINT) AS n, ro
 QUERIES["zscore_outlier_count"] = lambda s, d: _series(s, d).withColumns({"m": F.avg("x").over(Window.partitionBy("signal")), "sd": F.stddev_pop("x").over(Window.partitionBy("signal"))}).groupBy("signal").agg(F.count_if(F.abs(F.try_divide(F.col("x") - F.col("m"), "sd")) >= 1.5).cast("bigint").alias("n"))
 SQL["zscore_outlier_count"] = f"{_TS} SELECT signal, CAST(count(*) FILTER (abs(z) >= 1.5) AS BIGINT) AS n FROM (SELECT signal, (x - avg(x) OVER (PARTITION BY signal)) / nullif(stddev_pop(x) OVER (PARTITION BY signal), 0) AS z FROM long) GROUP BY 1"
 _TRAIL = Window.partitionBy("signal").orderBy("idx").rowsBetween(-3, 0)
-QUERIES["rolling_statistics"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(F.avg("x").over(_TRAIL), 2).alias("mean"), F.round(F.stddev_pop("x").over(_TRAIL), 1).alias("deviation"))
-SQL["rolling_statistics"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(avg(x) OVER w, 2) AS mean, round(stddev_pop(x) OVER w, 1) AS deviation FROM long WINDOW w AS (PARTITION BY signal ORDER BY idx ROWS 3 PRECEDING)"
+QUERIES["rolling_statistics"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(F.avg("x").over(_TRAIL), 6).alias("mean"), F.round(F.stddev_pop("x").over(_TRAIL), 1).alias("deviation"))
+SQL["rolling_statistics"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(avg(x) OVER w, 6) AS mean, round(stddev_pop(x) OVER w, 1) AS deviation FROM long WINDOW w AS (PARTITION BY signal ORDER BY idx ROWS 3 PRECEDING)"
 QUERIES["percentage_change"] = lambda s, d: _series(s, d).withColumn("p", F.lag("x").over(Window.partitionBy("signal").orderBy("idx"))).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(percentage_change(F.col("p"), F.col("x")), 6).alias("change"))
 SQL["percentage_change"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(CASE WHEN p = 0 THEN 0 ELSE (x - p) / abs(p) END, 6) AS change FROM (SELECT *, lag(x) OVER (PARTITION BY signal ORDER BY idx) AS p FROM long)"
 _ALL = Window.partitionBy("signal")
