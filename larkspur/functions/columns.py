@@ -90,3 +90,30 @@ def url_component(c: Column) -> Column:
 def formula_guard(c: Column) -> Column:
     """A quote before texts that a spreadsheet would run."""
     return F.when(c.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
+
+
+def plural(n: Column, one: str, few: str, many: str) -> Column:
+    """The Russian form of a noun after a number."""
+    last, two = F.abs(n) % 10, F.abs(n) % 100
+    return F.when(two.between(11, 14), many).when(last == 1, one).when(last.between(2, 4), few).otherwise(many)
+
+
+def decimal_comma(c: Column) -> Column:
+    """A number's text with a comma."""
+    return F.replace(c.cast("string"), F.lit("."), F.lit(","))
+
+
+#: Words that claim a cause.
+CAUSAL = r"(?i)\b(causes?|caused|causing|proves?|proving|confirms?|guarantees?)\b"
+
+
+def claims_cause(c: Column) -> Column:
+    """Whether a text claims a cause, which no observed relation supports."""
+    return F.coalesce(c.rlike(CAUSAL), F.lit(False))
+
+
+def display_label(c: Column, known: dict[str, str] | None = None) -> Column:
+    """A known label of an id, else the id with spaces and a capital."""
+    plain = F.replace(c, F.lit("_"), F.lit(" "))
+    pretty = F.concat(F.upper(F.substring(plain, 1, 1)), F.substring(plain, 2, 2147483647))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in known.items() for x in item]), c), pretty) if known else pretty

@@ -164,6 +164,62 @@ def monthly(rows: DataFrame, year: int | None = None) -> DataFrame:
     return base.select(sheet.text(sku).alias("sku"), sheet.text(name).alias("product_name"), F.explode(cells).alias("c")).select("sku", "product_name", "c.month", "c.value")
 
 
+#: The line of a hierarchical report that names its period.
+PERIOD = re.compile(r"период:?\s*(\d{2})\.(\d{2})\.(\d{4})\s*-\s*(\d{2})\.(\d{2})\.(\d{4})", re.I)
+PERIOD_ROWS = 15
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """row, sku (null if the label holds none), product_name, month, units of a
+    hierarchical report: the rows of its deepest outline level.
+
+    The period comes from its line, else from the first cell that names a month; the
+    quantity column is then the first one from that cell's column on, as far as the
+    next filled cell of the month's row.  ``rows`` has row, level and cells.  Only
+    the first rows come to the driver.
+    """
+    head = sorted((r["row"], r["cells"]) for r in rows.orderBy("row").select("row", "cells").limit(HEADER_ROWS).collect())
+    month, span = None, None
+    top = head[:PERIOD_ROWS]
+    dated = next((m for _, cells in top for c in cells if (m := PERIOD.search(c or ""))), None)
+    if dated:
+        if dated[2] != dated[5] or dated[3] != dated[6]:
+            raise ValueError("the report covers more than one month")
+        if not 1 <= int(dated[2]) <= 12:
+            raise ValueError("the report's period names no month")
+        month = f"{dated[3]}-{dated[2]}"
+    else:
+        for _, cells in top:
+            k = next((k for k, c in enumerate(cells) if month_of(c)), None)
+            if k is not None:
+                after = next((j for j in range(k + 1, len(cells)) if (cells[j] or "").strip()), len(cells) + 1)
+                month, span = month_of(cells[k]), (k, after)
+                break
+    if month is None:
+        raise MissingColumn("no period in the first rows of the report")
+    found = [(not (span and span[0] <= k < span[1]), at, k) for at, cells in head for k, c in enumerate(cells) if any(name in plain_key(c) for name in QUANTITY)]
+    if not found:
+        raise MissingColumn("required column was not found: quantity")
+    _, header, quantity = min(found)
+    labels = [plain_key(c) for at, cells in head if at <= header for c in cells]
+    coded = any("номенклатура" in x and ("артикул" in x or "код" in x) for x in labels) or "номенклатура" not in labels
+    body = rows.filter(F.col("row") > header)
+    deepest = body.agg(F.max(F.when(F.col("level") > 0, F.col("level"))).alias("leaf"))
+    if deepest.filter("leaf is not null").isEmpty():
+        raise MissingColumn("the report's rows have no outline levels")
+    filled = F.filter(F.transform("cells", lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")), lambda c: c != "")
+    leaves = body.join(F.broadcast(deepest), F.col("level") == F.col("leaf")).select("row", F.coalesce(F.get(filled, F.lit(0)), F.lit("")).alias("label"), Sheet.number(quantity).alias("units"))
+    split = F.regexp_extract("label", r"(?s)^(.*),([^,]*)$", 1), F.regexp_extract("label", r"(?s)^(.*),([^,]*)$", 2)
+    has = F.col("label").contains(",") if coded else F.lit(False)
+    made = leaves.select("row", F.when(has, F.nullif(F.trim(split[1]), F.lit(""))).alias("sku"), F.trim(F.when(has, split[0]).otherwise(F.col("label"))).alias("product_name"), F.lit(month).alias("month"), "units")
+    return made.filter("product_name <> '' and units is not null")
+
+
+def grouped_totals(rows: DataFrame) -> DataFrame:
+    """sku, product_name (the first), month and units of ``grouped`` rows with a SKU."""
+    return rows.filter("sku is not null").groupBy("sku", "month").agg(F.min_by("product_name", "row").alias("product_name"), F.sum("units").alias("units")).select("sku", "product_name", "month", "units")
+
+
 def inbound(rows: DataFrame) -> DataFrame:
     """One row a SKU and arrival column with a quantity; the date comes from the column's name, else null."""
     sheet = Sheet(rows, SKU, NAME)

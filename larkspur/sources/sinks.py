@@ -12,6 +12,10 @@ from larkspur.operators.validation import fingerprint
 ORDER_HEADER = ("Поставщик", "SKU", "Наименование", "Рекомендация", "Подтверждено менеджером", "Срочность", "Расчёт на")
 
 
+#: The header of the file of all confirmed orders.
+ORDERS_HEADER = ("Поставщик", "SKU", "Наименование", "Рекомендация", "Подтверждено", "Срочность")
+
+
 def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
@@ -49,6 +53,17 @@ def write_orders(lines: DataFrame, as_of: str, path: str) -> None:
     dealt.select("folder", "line").write.partitionBy("folder").option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
+def write_all_orders(lines: DataFrame, path: str) -> None:
+    """Confirmed lines of all suppliers; the part files in order of their names are the file."""
+    cells = [F.col("supplier"), F.col("sku"), F.col("product_name"), _number(F.col("recommended")), _number(F.col("quantity")), F.col("urgency")]
+    body = lines.filter("quantity > 0").select(F.lit(1).alias("position"), "supplier", "sku", csv_line(*[formula_guard(c) for c in cells]).alias("line"))
+    head = F.concat(F.lit("\ufeff"), csv_line(*[F.lit(h) for h in ORDERS_HEADER]))
+    top = lines.sparkSession.range(1).select(F.lit(0).alias("position"), F.lit("").alias("supplier"), F.lit("").alias("sku"), head.alias("line"))
+    order = ["position", "supplier", "sku", "line"]
+    dealt = top.unionByName(body).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("line").write.option("lineSep", "\r\n").mode("overwrite").text(path)
+
+
 def share_urls(message: Column, source_url: str = "") -> tuple[Column, Column]:
     """WhatsApp and Telegram links that carry a message; the second encodes a form, spaces as '+'."""
     whatsapp = F.concat(F.lit("https://wa.me/?text="), url_component(message))
