@@ -181,7 +181,8 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = table(spark, sf_dir, "orders").groupBy(week.cast("date").alias("week")).agg(
         F.count(F.lit(1)).cast("double").alias("n_orders"),
         F.round(F.sum("o_totalprice"), 2).alias("revenue"),
-        F.round(F.avg("o_totalprice"), 4).alias("mean_price"),
+        # An exact sum, so that any order of adding gives the same mean.
+        (F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("mean_price"),
         F.count_if(F.col("o_orderpriority").startswith("1")).cast("double").alias("urgent"),
         F.count_if(F.col("o_orderstatus") == "F").cast("double").alias("finished"),
         F.countDistinct("o_custkey").cast("double").alias("customers"),
@@ -222,7 +223,7 @@ customers AS (SELECT c_custkey AS customer_id, c_mktsegment AS segment, r_name A
 
 WEEKLY_SQL = """
 weeks AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, CAST(count(*) AS DOUBLE) AS n_orders, round(sum(o_totalprice), 2) AS revenue,
-    round(avg(o_totalprice), 4) AS mean_price, CAST(count(*) FILTER (o_orderpriority LIKE '1%') AS DOUBLE) AS urgent,
+    CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_price, CAST(count(*) FILTER (o_orderpriority LIKE '1%') AS DOUBLE) AS urgent,
     CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) AS finished, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS customers
   FROM orders GROUP BY 1),
 weekly AS (SELECT *, row_number() OVER (ORDER BY week) - 1 AS idx, count(*) OVER () AS n_rows FROM weeks),
