@@ -1,14 +1,13 @@
 """One Aho-Corasick automaton over word sequences.
 
 A sequence is stored between single spaces, so a match covers whole words and
-sequences may overlap.  An automaton is built from at most ``MAX_BYTES`` of
-patterns; ``shards`` splits a larger pattern set and callers scan once a shard.
+sequences may overlap.  An automaton is built from about ``MAX_BYTES`` of patterns at
+most; callers split a larger pattern set and scan once a shard.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -18,20 +17,6 @@ MAX_BYTES = 32 << 20
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
-def shards(patterns: Iterable[tuple[str, object]], limit: int = MAX_BYTES) -> Iterator[list[tuple[str, object]]]:
-    """Consecutive groups of patterns whose texts stay below ``limit`` bytes."""
-    group: list[tuple[str, object]] = []
-    size = 0
-    for pattern in patterns:
-        if group and size + len(pattern[0]) > limit:
-            yield group
-            group, size = [], 0
-        group.append(pattern)
-        size += len(pattern[0])
-    if group:
-        yield group
-
-
 def key_of(patterns: list[tuple[str, object]]) -> str:
     return hashlib.sha256(repr(patterns).encode()).hexdigest()
 
