@@ -54,9 +54,20 @@ def monthly_aggregate(rows: DataFrame) -> DataFrame:
 
 
 def invoice_orders(transactions: DataFrame, as_of: str) -> DataFrame:
-    """Order sizes by month and invoice; a blank invoice is an order of its own."""
-    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("row_order"))
-    named = transactions.filter(F.col("month") <= as_of).withColumn("invoice", F.coalesce(F.nullif(F.trim("invoice_number"), F.lit("")), F.concat(F.lit("ROW-"), place)))
+    """Order sizes by month and invoice; a blank invoice is an order of its own, named
+    by its row's place in the series.
+
+    ``row_order`` begins with the time, so a place is the rows of the months before
+    and the place within the month: no task sorts more than a month of a series.
+    """
+    rows = transactions.filter(F.col("month") <= as_of)
+    months = rows.groupBy(*KEY, "month").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*KEY).orderBy("month").rowsBetween(Window.unboundedPreceding, -1))
+    months = months.select(*KEY, "month", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = rows.withColumn("_within", F.row_number().over(Window.partitionBy(*KEY, "month").orderBy("row_order")))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in [*KEY, "month"]]
+    joined = placed.alias("r").join(months.alias("m"), same[0] & same[1] & same[2]).select("r.*", (F.col("m.before") + F.col("r._within")).alias("_place"))
+    named = joined.withColumn("invoice", F.coalesce(F.nullif(F.trim("invoice_number"), F.lit("")), F.concat(F.lit("ROW-"), F.col("_place").cast("string"))))
     return named.groupBy(*KEY, "month", "invoice").agg(F.sum("units_sold").alias("units"))
 
 
