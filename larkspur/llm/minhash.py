@@ -315,15 +315,16 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         return edges.join(u, F.col("u") == F.col("class_u")).join(v, F.col("v") == F.col("class_v")).select(F.col("doc_u").alias("u"), F.col("doc_v").alias("v"))
 
     spread = reps.select("id", "signature").mapInArrow(banded, "key long, id long")
-    stars = spread.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).filter("hub <> far").select(F.col("key").alias("k"), "hub")
-    shared = scratch.cut(spread.join(stars, F.col("key") == F.col("k")).select("key", "hub", "id"))
+    stars = spread.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).filter("hub <> far").select("key", "hub")
+    # A band may hold very many representatives, so joins on bands are dealt in shares.
+    shared = scratch.cut(scratch.dealt(spread, stars, ["key"], "id").select("key", "hub", "id"))
     pairs = shared.filter("hub <> id").groupBy(F.col("hub").alias("u"), F.col("id").alias("v")).agg(F.lit(1).alias("one")).select("u", "v")
     short = reps.select(F.col("id").alias("s"), "signature")
     both = pairs.join(short, F.col("u") == F.col("s")).select("u", "v", F.col("signature").alias("a")).join(short, F.col("v") == F.col("s")).select("u", "v", "a", F.col("signature").alias("b"))
     likely = scratch.cut(both.mapInArrow(compared, "u long, v long"))
     # Bands with two members or fewer are settled by their star.
     crowded = shared.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 2").select("key")
-    wanted = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).unionByName(shared.join(crowded, "key", "left_semi").select("id")).distinct()
+    wanted = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).unionByName(scratch.dealt(shared, crowded, ["key"], "id", how="left_semi").select("id")).distinct()
     sets = _candidate_sets(docs, reps.select("id", "doc", "print").join(wanted, "id", "left_semi"), shingle)
     side = sets.select(F.col("id").alias("s"), "items")
     texts = likely.join(side, F.col("u") == F.col("s")).select("u", "v", F.col("items").alias("a")).join(side, F.col("v") == F.col("s")).select("u", "v", "a", F.col("items").alias("b"))
@@ -345,10 +346,10 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 def _rest(shared: DataFrame, crowded: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame, rows: int, bands: int, percent: int, steps) -> DataFrame:
     """Links between different components of crowded bands that no star tested."""
-    labelled = shared.join(crowded, "key", "left_semi").filter("hub <> id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    labelled = scratch.dealt(shared, crowded, ["key"], "id", how="left_semi").filter("hub <> id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     labelled = scratch.cut(labelled)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("members")).filter("a <> b").select("key", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
-    members = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = scratch.dealt(labelled, mixed, ["key"], "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A member stands in the tiles of its own block with every block.
     dealt = members.select("key", "id", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "id", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
     full = dealt.join(reps.select("id", "signature"), "id").join(sets, "id")

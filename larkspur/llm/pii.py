@@ -234,13 +234,6 @@ def _occurrences(spans: DataFrame) -> DataFrame:
     return of("base", F.col("x.kind")).unionByName(of("candidates", F.lit(None).cast("string")))
 
 
-def _dealt(many: DataFrame, few: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Equi-join of a side with hot keys to one with a row a key, in ``SHARES`` shares."""
-    left = many.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
-    right = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return left.join(right, [*keys, "_share"]).drop("_share")
-
-
 def accepted_patterns(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
     """kind and pattern of high confidence, scored over the pattern-instance graph.
 
@@ -249,14 +242,14 @@ def accepted_patterns(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUND
     seeded = edges.join(seeds, "instance").select("kind", "pattern", "instance")
     induced = seeded.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support)
     # Every distinct instance of an induced pattern, seed of the kind or not.
-    graph = _dealt(edges, induced, ["pattern"], "instance").join(seeds.withColumn("seed", F.lit(True)), ["kind", "instance"], "left")
+    graph = scratch.dealt(edges, induced, ["pattern"], "instance", SHARES).join(seeds.withColumn("seed", F.lit(True)), ["kind", "instance"], "left")
     graph = scratch.cut(graph.select("kind", "pattern", "instance", F.coalesce("seed", F.lit(False)).alias("seed")))
     confidence = graph.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("c"))
     patterns = None
     for _ in range(rounds):
         # Sums of shares first: a pattern may hold very many instances.
         patterns = graph.join(confidence, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.avg("c").alias("score"))
-        spread = _dealt(graph, patterns, ["kind", "pattern"], "instance")
+        spread = scratch.dealt(graph, patterns, ["kind", "pattern"], "instance", SHARES)
         doubt = F.exp(F.sum(F.ln(F.greatest(1 - F.col("score") * F.col("score"), F.lit(1e-12)))))
         confidence = scratch.cut(spread.groupBy("kind", "instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("c")))
     return patterns.filter(F.col("score") >= accept).select("kind", "pattern")
@@ -277,7 +270,7 @@ def discovered(spans: DataFrame, **options) -> DataFrame | None:
     while True:
         turn = accepted_patterns(edges, seeds, **options)
         patterns = scratch.cut(turn if patterns is None else patterns.unionByName(turn).distinct())
-        shaped = _dealt(candidates, patterns, ["pattern"], "value").filter(_shape(F.col("kind"), F.col("value")))
+        shaped = scratch.dealt(candidates, patterns, ["pattern"], "value", SHARES).filter(_shape(F.col("kind"), F.col("value")))
         new = scratch.cut(shaped.select("kind", "instance").distinct().join(seeds, ["kind", "instance"], "left_anti"))
         if new.isEmpty():
             break
@@ -285,9 +278,9 @@ def discovered(spans: DataFrame, **options) -> DataFrame | None:
         seeds = scratch.cut(seeds.unionByName(new))
     if not found:
         # Values of known seeds may still stand in accepted patterns as candidates.
-        if _dealt(candidates, patterns, ["pattern"], "value").filter(_shape(F.col("kind"), F.col("value"))).isEmpty():
+        if scratch.dealt(candidates, patterns, ["pattern"], "value", SHARES).filter(_shape(F.col("kind"), F.col("value"))).isEmpty():
             return None
-    hits = _dealt(free, patterns, ["pattern"], "key").filter(_shape(F.col("kind"), F.col("value")))
+    hits = scratch.dealt(free, patterns, ["pattern"], "key", SHARES).filter(_shape(F.col("kind"), F.col("value")))
     return hits.select("key", "start", "kind", "end").distinct()
 
 

@@ -15,6 +15,7 @@ import uuid
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only in local mode, and where the session names no checkpoint folder, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/larkspur"
@@ -42,6 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(many: DataFrame, few: DataFrame, keys: list[str], by: str, shares: int = 8, how: str = "inner") -> DataFrame:
+    """Equi-join of a side with hot keys to one with a row a key: the rows of a key are
+    dealt into shares by a hash of ``by``, and the short side is sent to each share."""
+    left = many.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
+    right = few.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return left.join(right, [*keys, "_share"], how).drop("_share")
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
