@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.columns import clamp, pearson, percentage_change
@@ -162,17 +162,25 @@ QUERIES["inspect_series"] = lambda s, d: _series(s, d).groupBy("signal").agg(F.c
 SQL["inspect_series"] = f"{_TS} SELECT signal, CAST(count(x) AS BIGINT) AS n, round(arg_max(x, idx), 4) AS latest, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS sd FROM long GROUP BY 1"
 QUERIES["zscore_outlier_count"] = lambda s, d: _series(s, d).withColumns({"m": F.avg("x").over(Window.partitionBy("signal")), "sd": F.stddev_pop("x").over(Window.partitionBy("signal"))}).groupBy("signal").agg(F.count_if(F.abs(F.try_divide(F.col("x") - F.col("m"), "sd")) >= 1.5).cast("bigint").alias("n"))
 SQL["zscore_outlier_count"] = f"{_TS} SELECT signal, CAST(count(*) FILTER (abs(z) >= 1.5) AS BIGINT) AS n FROM (SELECT signal, (x - avg(x) OVER (PARTITION BY signal)) / nullif(stddev_pop(x) OVER (PARTITION BY signal), 0) AS z FROM long) GROUP BY 1"
-_TRAIL = Window.partitionBy("signal").orderBy("idx").rowsBetween(-3, 0)
-QUERIES["rolling_statistics"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(F.avg("x").over(_TRAIL), 6).alias("mean"), F.round(F.stddev_pop("x").over(_TRAIL), 1).alias("deviation"))
+def _trail(c: Column) -> Column:
+    """An aggregate over a row and the three before it."""
+    return c.over(Window.partitionBy("signal").orderBy("idx").rowsBetween(-3, 0))
+
+
+def _z_of() -> Column:
+    """The distance of a value from its series' mean in deviations; 0 where there is none."""
+    every = Window.partitionBy("signal")
+    return F.coalesce(F.try_divide(F.col("x") - F.avg("x").over(every), F.stddev_pop("x").over(every)), F.lit(0.0))
+
+
+QUERIES["rolling_statistics"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(_trail(F.avg("x")), 6).alias("mean"), F.round(_trail(F.stddev_pop("x")), 1).alias("deviation"))
 SQL["rolling_statistics"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(avg(x) OVER w, 6) AS mean, round(stddev_pop(x) OVER w, 1) AS deviation FROM long WINDOW w AS (PARTITION BY signal ORDER BY idx ROWS 3 PRECEDING)"
 QUERIES["percentage_change"] = lambda s, d: _series(s, d).withColumn("p", F.lag("x").over(Window.partitionBy("signal").orderBy("idx"))).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(percentage_change(F.col("p"), F.col("x")), 6).alias("change"))
 SQL["percentage_change"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(CASE WHEN p = 0 THEN 0 ELSE (x - p) / abs(p) END, 6) AS change FROM (SELECT *, lag(x) OVER (PARTITION BY signal ORDER BY idx) AS p FROM long)"
-_ALL = Window.partitionBy("signal")
-_Z = F.coalesce(F.try_divide(F.col("x") - F.avg("x").over(_ALL), F.stddev_pop("x").over(_ALL)), F.lit(0.0))
 _Z_SQL = "coalesce((x - avg(x) OVER (PARTITION BY signal)) / nullif(stddev_pop(x) OVER (PARTITION BY signal), 0), 0)"
-QUERIES["z_score"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(_Z, 6).alias("z"))
+QUERIES["z_score"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(_z_of(), 6).alias("z"))
 SQL["z_score"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round({_Z_SQL}, 6) AS z FROM long"
-QUERIES["anomaly_score"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(clamp(F.abs(_Z) / 20, 0.0, 1.0), 6).alias("score"))
+QUERIES["anomaly_score"] = lambda s, d: _series(s, d).select("signal", F.col("idx").cast("bigint").alias("idx"), F.round(clamp(F.abs(_z_of()) / 20, 0.0, 1.0), 6).alias("score"))
 SQL["anomaly_score"] = f"{_TS} SELECT signal, CAST(idx AS BIGINT) AS idx, round(least(1.0, greatest(0.0, abs({_Z_SQL}) / 20)), 6) AS score FROM long"
 QUERIES["temporal_consistency"] = lambda s, d: _consistency(_series(s, d))
 
