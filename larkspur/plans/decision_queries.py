@@ -90,8 +90,8 @@ def _pairs(s: SparkSession, d: str, anchor: str = "revenue") -> DataFrame:
     return joined.filter("x is not null and y is not null").select("signal", F.col("lag").cast("bigint").alias("lag"), F.col("idx").cast("bigint").alias("idx"), "x", "y")
 
 
-QUERIES["lag_self_join"] = lambda s, d: _pairs(s, d).select("signal", "lag", "idx", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
-SQL["lag_self_join"] = f"WITH {V.WEEKLY_SQL} SELECT l.signal, CAST(k.lag AS BIGINT) AS lag, CAST(l.idx AS BIGINT) AS idx, round(l.x, 2) AS x, round(t.x, 2) AS y FROM long l CROSS JOIN (SELECT unnest(range(4)) AS lag) k JOIN long t ON t.signal = 'revenue' AND t.idx = l.idx + k.lag WHERE l.signal <> 'revenue' AND k.lag <= floor(l.n_rows / 4)"
+QUERIES["lag_self_join"] = lambda s, d: _pairs(s, d).select("signal", "lag", "idx", "x", "y")
+SQL["lag_self_join"] = f"WITH {V.WEEKLY_SQL} SELECT l.signal, CAST(k.lag AS BIGINT) AS lag, CAST(l.idx AS BIGINT) AS idx, l.x, t.x AS y FROM long l CROSS JOIN (SELECT unnest(range(4)) AS lag) k JOIN long t ON t.signal = 'revenue' AND t.idx = l.idx + k.lag WHERE l.signal <> 'revenue' AND k.lag <= floor(l.n_rows / 4)"
 
 
 def precursor_chain(s: SparkSession, d: str, anchor: str = "revenue") -> DataFrame:
