@@ -30,7 +30,6 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +53,11 @@ SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 NULL_ID = -(1 << 63)
 #: Bytes of parts of texts and their ids remembered by one Python worker, with what
 #: a dictionary entry takes beside them.
-MEMO_BYTES = 192 << 20
+MEMO_BYTES = 128 << 20
 ENTRY_BYTES = 230
-#: Documents encoded together.
+#: Documents encoded together, and characters after which a group takes no more.
 GROUP = 64
+GROUP_CHARS = 1 << 20
 _ENTRY = struct.Struct("<qIQ")
 
 
@@ -98,8 +98,15 @@ class ChunkEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        texts = iter(texts)
-        while group := list(islice(texts, GROUP)):
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if len(group) == GROUP or size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        if group:
             yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
@@ -219,8 +226,9 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     def documents() -> Iterator[tuple[int | None, bytes]]:
         for batch in batches:
             texts = (x.decode("utf-8", "replace") if x else "" for x in binary_texts(batch.column(1)))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
-                yield doc_id, ids + end
+            doc_ids = iter(batch.column(0).to_pylist())
+            for ids in encoder.encode(texts):
+                yield next(doc_ids), ids + end
 
     ready, part = documents(), 0
     document = next(ready, None)
