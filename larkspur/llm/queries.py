@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import ann, decontaminate, html_extract, licenses, minhash, pii, quality, scratch, sentencepiece_fst, tokenbin, warc
+from larkspur.llm import ann, collocations, decontaminate, html_extract, licenses, minhash, pii, quality, repeats, scratch, sentencepiece_fst, spelling, tokenbin, warc
 from larkspur.llm.sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -91,6 +91,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("round_trip"), "ids")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pii, op4_token_binary, op5_licenses, op6_html_extract, op7_near_duplicates, op8_warc, op9_nearest, op10_sentencepiece)
+    f.__name__: f for f in (op1_decontaminate, op2_quality, op3_pii, op4_token_binary, op5_licenses, op6_html_extract, op7_near_duplicates, op8_warc, op9_nearest, op10_sentencepiece, op11_substring_dedup, op12_collocations, op13_spelling_variants)
 }
