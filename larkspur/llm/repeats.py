@@ -9,8 +9,9 @@
 3. A window is a repeat where a document with a smaller id has it.  Overlapping and
    touching windows of a document are joined into maximal repeats.
 
-A filter of fixed size keeps most anchors of one document out of step 2; what passes it
-by chance is dropped by the exact steps.  Two windows are equal if 128 bits of hashes
+Filters of fixed size keep most anchors of one document out of step 2, seeds with one
+extension out of the comparison of windows, and texts that keep all their words out of
+the last join; what passes a filter by chance is settled by the exact steps.  Two windows are equal if 128 bits of hashes
 (their anchor's and their own) are.  No step pairs the documents of a seed, so rows stay
 linear in the words, and a seed that very many documents share is aggregated on the map
 side or joined to a single row.
@@ -136,15 +137,18 @@ def _groups(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.R
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Anchor and document, for each seed."""
-    for batch, held in _groups(batches, 1):
+    """Each anchor once for each text."""
+    for _, held in _groups(batches, 0):
         found = Winnowed(held, min_words)
-        both = np.unique(np.stack((found.doc.astype(np.uint64), found.anchor)), axis=1) if len(found.doc) else np.zeros((2, 0), np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(both[1].view(np.int64)), batch.column(0).take(pa.array(both[0].astype(np.int64)))], ["anchor", "id"])
+        # Equal anchors of a text stand together after a sort by text and anchor.
+        order = np.lexsort((found.anchor, found.doc))
+        anchor, doc = found.anchor[order], found.doc[order]
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])] if len(order) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64))], ["anchor"])
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], min_words: int, filtered) -> Iterator[pa.RecordBatch]:
-    """Seeds that the filter may hold, with the hashes of their windows."""
+def _seeds(batches: Iterator[pa.RecordBatch], min_words: int, filtered, full: bool) -> Iterator[pa.RecordBatch]:
+    """Seeds that the filter may hold: where they stand, or the hashes of their windows."""
     for batch, held in _groups(batches, 2):
         found = Winnowed(held, min_words)
         at = np.flatnonzero(bitfilter.maybe(filtered.value, found.anchor))
@@ -152,18 +156,20 @@ def _seeds(batches: Iterator[pa.RecordBatch], min_words: int, filtered) -> Itera
         place = np.arange(len(windows)) - np.repeat(offsets[:-1], np.diff(offsets))
         sums = (windows ^ (windows >> _SHIFT)) * (_ODD + place.astype(np.uint64) * np.uint64(2))
         extent = np.add.reduceat(sums, offsets[:-1]) if len(at) else sums
+        keys = [pa.array(found.anchor[at].view(np.int64)), pa.array(extent.view(np.int64))]
+        if full:
+            yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(windows.view(np.int64)))], ["anchor", "extent", "windows"])
+            continue
         rows = pa.array(found.doc[at])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(found.anchor[at].view(np.int64)),
-                pa.array(extent.view(np.int64)),
-                batch.column(0).take(rows),
-                batch.column(1).take(rows),
-                pa.array((found.first[at] - found.begins[found.doc[at]]).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(windows.view(np.int64))),
-            ],
-            ["anchor", "extent", "id", "print", "first", "windows"],
-        )
+        first = (found.first[at] - found.begins[found.doc[at]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*keys, batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first), pa.array(np.diff(offsets).astype(np.int32))], ["anchor", "extent", "id", "print", "first", "size"])
+
+
+def _among(batches: Iterator[pa.RecordBatch], filtered, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose key (the last column) the filter may hold, or the others."""
+    for batch in batches:
+        held = bitfilter.maybe(filtered.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+        yield batch.filter(pa.array(held if wanted else ~held))
 
 
 def covered(n: int, seeds: list[dict], min_words: int) -> np.ndarray:
@@ -201,33 +207,53 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     if not 1 <= min_words <= ANCHOR + 56:
         raise ValueError("the windows of an anchor must fit into 57 bits")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    known = rows.filter("id is not null and text is not null").select("id", F.xxhash64("text").alias("print"), "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
+    known = rows.filter("id is not null and text is not null").select("id", "print", "text")
 
     def anchors(batches):
         return _anchors(batches, min_words)
 
-    shared = known.select("id", "text").mapInArrow(anchors, "anchor long, id long").groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    filtered = bitfilter.built(shared, "anchor")
-
-    def seeded(batches):
-        return _seeds(batches, min_words, filtered)
-
-    seeds = scratch.cut(known.mapInArrow(seeded, "anchor long, extent long, id long, print long, first int, windows array<long>"))
-    extents = seeds.groupBy("anchor", "extent").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("windows").alias("windows"))
-    windows = scratch.cut(extents.select("anchor", "extent", "low", "high", F.posexplode("windows").alias("at", "window")))
-    repeated = windows.groupBy("anchor", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("anchor", "window", "least")
-    judged = windows.join(repeated, ["anchor", "window"]).groupBy("anchor", "extent").agg(F.collect_list(F.struct("at", "least")).alias("judged"))
-    # One bit for each window of the seed that a smaller document has.
-    mask = F.expr("aggregate(judged, 0L, (m, w) -> m + if(w.least < id, shiftleft(1L, w.at), 0L))")
-    taken = seeds.select("anchor", "extent", "id", "print", "first").join(judged, ["anchor", "extent"]).select("id", "print", "first", mask.alias("mask")).filter("mask > 0")
+    shared = known.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    repeated = bitfilter.built(shared, "anchor")
+
+    def placed(batches):
+        return _seeds(batches, min_words, repeated, False)
+
+    seeds = scratch.cut(known.mapInArrow(placed, "anchor long, extent long, id long, print long, first int, size int"))
+    extents = scratch.cut(seeds.groupBy("anchor", "extent").agg(F.min("id").alias("low"), F.max("id").alias("high")))
+    # Only seeds with several extensions have windows that other extensions may share.
+    crowded = bitfilter.built(extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1 and low < high"), "anchor")
+
+    def opened(batches):
+        return _seeds(batches, min_words, crowded, True)
+
+    different = known.mapInArrow(opened, "anchor long, extent long, windows array<long>").groupBy("anchor", "extent").agg(F.first("windows").alias("windows"))
+    windows = scratch.cut(different.join(extents, ["anchor", "extent"]).select("anchor", "extent", "low", "high", F.posexplode("windows").alias("at", "window")))
+    least = windows.groupBy("anchor", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("anchor", "window", "least")
+    judged = windows.select("anchor", "extent", "at", "window").join(least, ["anchor", "window"]).groupBy("anchor", "extent").agg(F.collect_list(F.struct("at", "least")).alias("judged"))
+    marks = extents.join(judged, ["anchor", "extent"], "left").filter("low < high or judged is not null").select("anchor", "extent", "low", "judged")
+    # One bit for each window of the seed that a smaller document has: all of them if it
+    # has the whole extension.
+    mask = F.expr("if(low < id, shiftleft(1L, size) - 1L, aggregate(coalesce(judged, array()), 0L, (m, w) -> m + if(w.least < id, shiftleft(1L, w.at), 0L)))")
+    taken = seeds.join(marks, ["anchor", "extent"]).select("id", "print", "first", mask.alias("mask")).filter("mask > 0")
     # Equal rows of a document give equal seeds, so a set holds no more than its words.
-    found = taken.groupBy("id", "print").agg(F.collect_set(F.struct("first", "mask")).alias("seeds"))
+    found = scratch.cut(taken.groupBy("id", "print").agg(F.collect_set(F.struct("first", "mask")).alias("seeds")))
+    # Most texts keep all their words and are not moved for the join.
+    touched = bitfilter.built(found.select(F.xxhash64("id", "print").alias("key")), "key")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("repeats", span), T.StructField("kept", T.StringType())])
 
+    def wanted(batches):
+        return _among(batches, touched, True)
+
+    def others(batches):
+        return _among(batches, touched, False)
+
     def remove(batches):
         return _removed(batches, min_words, kind)
 
-    return rows.withColumn("print", F.xxhash64("text")).join(found, ["id", "print"], "left").select("id", "text", "seeds").mapInArrow(remove, out)
+    keyed = rows.withColumn("key", F.xxhash64("id", "print"))
+    moved = keyed.mapInArrow(wanted, keyed.schema).join(found, ["id", "print"], "left").select("id", "text", "seeds")
+    stay = keyed.mapInArrow(others, keyed.schema).select("id", "text", F.lit(None).cast(moved.schema["seeds"].dataType).alias("seeds"))
+    return stay.unionByName(moved).mapInArrow(remove, out)
