@@ -16,8 +16,8 @@ def numbered(df: DataFrame, out: str, first: int = 0) -> DataFrame:
     for each partition, and they are the side that is broadcast.
     """
     place = F.monotonically_increasing_id()
-    rows = kept(df.withColumns({"_part": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    return rows.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_place") + first).drop("_part", "_place", "_before")
+    rows = kept(df.withColumns({"__part": F.shiftright(place, 33), "__place": place.bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))
+    return rows.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + F.col("__place") + first).drop("__part", "__place", "__before")

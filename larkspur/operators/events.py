@@ -134,6 +134,23 @@ def notable(log: DataFrame) -> DataFrame:
     return flagged.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
 
 
+def reason_texts(marked: DataFrame) -> DataFrame:
+    """Notable events with their reasons as sentences, in the order of the rules."""
+    known = F.create_map(
+        *[
+            x
+            for name, text in (
+                ("rare", F.concat(F.lit("тип события «"), F.col("event_type"), F.lit("» встречается не чаще опубликованного порога 5%"))),
+                ("odd", F.lit("значение выходит за опубликованные границы 1.5×IQR")),
+                ("burst", F.lit("событие входит в скопление одной сущности минимум из трёх событий с промежутками не более пяти минут")),
+                ("again", F.lit("событие повторяет ту же сущность/тип/значение в течение пяти минут")),
+            )
+            for x in (F.lit(name), text)
+        ]
+    )
+    return marked.withColumn("reasons", F.transform("reasons", lambda r: F.element_at(known, r)))
+
+
 def entity_detail(log: DataFrame, entity: str) -> DataFrame:
     """One entity: its activity, notable events, clusters and why it is highlighted."""
     mine = F.col("entity_id") == entity
