@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,6 +207,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     if not 1 <= min_words <= ANCHOR + 56:
         raise ValueError("the windows of an anchor must fit into 57 bits")
+    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
     known = rows.filter("id is not null and text is not null").select("id", "print", "text")
 
@@ -219,25 +220,39 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def placed(batches):
         return _seeds(batches, min_words, repeated, False)
 
-    seeds = scratch.cut(known.mapInArrow(placed, "anchor long, extent long, id long, print long, first int, size int"))
-    extents = scratch.cut(seeds.groupBy("anchor", "extent").agg(F.min("id").alias("low"), F.max("id").alias("high")))
-    # Only seeds with several extensions have windows that other extensions may share.
-    crowded = bitfilter.built(extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1 and low < high"), "anchor")
-
-    def opened(batches):
-        return _seeds(batches, min_words, crowded, True)
-
-    different = known.mapInArrow(opened, "anchor long, extent long, windows array<long>").groupBy("anchor", "extent").agg(F.first("windows").alias("windows"))
-    windows = scratch.cut(different.join(extents, ["anchor", "extent"]).select("anchor", "extent", "low", "high", F.posexplode("windows").alias("at", "window")))
-    least = windows.groupBy("anchor", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("anchor", "window", "least")
-    judged = windows.select("anchor", "extent", "at", "window").join(least, ["anchor", "window"]).groupBy("anchor", "extent").agg(F.collect_list(F.struct("at", "least")).alias("judged"))
-    marks = extents.join(judged, ["anchor", "extent"], "left").filter("low < high or judged is not null").select("anchor", "extent", "low", "judged")
-    # One bit for each window of the seed that a smaller document has: all of them if it
-    # has the whole extension.
-    mask = F.expr("if(low < id, shiftleft(1L, size) - 1L, aggregate(coalesce(judged, array()), 0L, (m, w) -> m + if(w.least < id, shiftleft(1L, w.at), 0L)))")
-    taken = seeds.join(marks, ["anchor", "extent"]).select("id", "print", "first", mask.alias("mask")).filter("mask > 0")
-    # Equal rows of a document give equal seeds, so a set holds no more than its words.
-    found = scratch.cut(taken.groupBy("id", "print").agg(F.collect_set(F.struct("first", "mask")).alias("seeds")))
+    def few(df: DataFrame, key: Column, held) -> DataFrame:
+        """Rows whose key the filter may hold."""
+
+        def task(batches):
+            return _among(batches, held, True)
+
+        keyed = df.withColumn("key", key)
+        return keyed.mapInArrow(task, keyed.schema).drop("key")
+
+    with scratch.Tables(spark) as table:
+        seeds = table(known.mapInArrow(placed, "anchor long, extent long, id long, print long, first int, size int"), "seeds")
+        extents = table(seeds.groupBy("anchor", "extent").agg(F.min("id").alias("low"), F.max("id").alias("high")), "extents")
+        # Only seeds with several extensions have windows that other extensions may share.
+        crowded = bitfilter.built(extents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "anchor")
+
+        def opened(batches):
+            return _seeds(batches, min_words, crowded, True)
+
+        different = known.mapInArrow(opened, "anchor long, extent long, windows array<long>").groupBy("anchor", "extent").agg(F.first("windows").alias("windows"))
+        bounded = different.join(few(extents, F.col("anchor"), crowded), ["anchor", "extent"])
+        windows = table(bounded.select("anchor", "extent", "low", "high", F.posexplode("windows").alias("at", "window")), "windows")
+        least = windows.groupBy("anchor", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("anchor", "window", "least")
+        judged = windows.select("anchor", "extent", "at", "window").join(least, ["anchor", "window"]).groupBy("anchor", "extent").agg(F.collect_list(F.struct("at", "least")).alias("judged"))
+        whole = extents.filter("low < high").select("anchor", "extent", "low")
+        marks = table(whole.join(judged, ["anchor", "extent"], "full"), "marks")
+        table.drop(extents, windows)
+        marked = bitfilter.built(marks.select(F.xxhash64("anchor", "extent").alias("key")), "key")
+        # One bit for each window of the seed that a smaller document has: all of them if it
+        # has the whole extension.
+        mask = F.expr("if(coalesce(low < id, false), shiftleft(1L, size) - 1L, aggregate(coalesce(judged, array()), 0L, (m, w) -> m + if(w.least < id, shiftleft(1L, w.at), 0L)))")
+        taken = few(seeds, F.xxhash64("anchor", "extent"), marked).join(marks, ["anchor", "extent"]).select("id", "print", "first", mask.alias("mask")).filter("mask > 0")
+        # Equal rows of a document give equal seeds, so a set holds no more than its words.
+        found = scratch.cut(taken.groupBy("id", "print").agg(F.collect_set(F.struct("first", "mask")).alias("seeds")))
     # Most texts keep all their words and are not moved for the join.
     touched = bitfilter.built(found.select(F.xxhash64("id", "print").alias("key")), "key")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

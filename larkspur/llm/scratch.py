@@ -43,6 +43,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Intermediate frames as Parquet tables in the shared folder, which are smaller than
+    checkpoints; those that are left are removed at the end of the block, also after a fault."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_dir(self._spark, name)
+        self._paths[path] = None
+        df.write.parquet(path)
+        read = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[path] = read
+        return read
+
+    def drop(self, *frames: DataFrame) -> None:
+        for path in [p for p, df in self._paths.items() if any(df is x for x in frames)]:
+            remove_dir(self._spark, path)
+            del self._paths[path]
+
+    def __exit__(self, *_) -> None:
+        for path in self._paths:
+            remove_dir(self._spark, path)
+
+
 def dealt(many: DataFrame, few: DataFrame, keys: list[str], by: str, shares: int = 8, how: str = "inner") -> DataFrame:
     """Equi-join of a side with hot keys to one with a row a key: the rows of a key are
     dealt into shares by a hash of ``by``, and the short side is sent to each share."""
