@@ -52,7 +52,7 @@ def canonical(c: Column, kind: T.DataType) -> Column:
         out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical(x, kind.elementType)), ","), F.lit("]"))
     elif isinstance(kind, T.StructType):
         parts = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical(c.getField(f.name), f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
-        out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        out = F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         pairs = F.array_sort(F.transform(F.map_keys(c), lambda k: F.struct(k.alias("k"), F.element_at(c, k).alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
         out = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(quoted(p["k"]), F.lit(":"), canonical(p["v"], kind.valueType))), ","), F.lit("}"))

@@ -138,6 +138,8 @@ def test_canonical_texts(spark):
     want = ["0", "0", "1", "-12.5", "1e+21", "1.5e+300", "123456789.125", "12345678901234567000", "0.000001", "1.25e-7", "0.001", "1000000000000000", "0.30000000000000004", "null", "null", "null"]
     frame = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
     assert [r[0] for r in frame.orderBy("k").select(canonical(F.col("x"), frame.schema["x"].dataType)).collect()] == want
+    empty = spark.sql("select cast(null as struct<a:int>) as s, cast(null as array<int>) as a, cast(null as map<string,int>) as m")
+    assert empty.select(row_json(empty)).first()[0] == '{"a":null,"m":null,"s":null}'
     with pytest.raises(TypeError):
         canonical(F.col("x"), spark.sql("select interval 1 month as x").schema["x"].dataType)
     assert spark.range(1).select(number_text(F.lit(2.5))).first()[0] == "2.5"
