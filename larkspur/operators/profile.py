@@ -155,7 +155,7 @@ def resolve_schema(headers: DataFrame, aliases: DataFrame, hints: DataFrame) ->
     score = F.col("metrics") * 2 + F.col("strong") * 5 + F.col("characteristic") * 3 + F.col("outcome")
     eligible = (F.col("metrics") >= F.col("minimum_match")) & ((F.col("strong") >= 1) | (F.col("characteristic") >= 2)) & (F.col("excluded") == 0)
     scored = scored.withColumns({"score": score, "eligible": eligible})
-    best = scored.filter("eligible").agg(F.max_by(F.struct("domain", "score", "minimum_margin"), F.struct("score", F.array(*[-F.ascii(F.substring("domain", k, 1)) for k in range(1, 9)]))).alias("best"))
+    best = scored.filter("eligible").agg(F.min(F.struct((-F.col("score")).alias("less"), "domain", "score", "minimum_margin")).alias("best"))
     others = scored.join(F.broadcast(best)).filter(F.col("best.domain").isNull() | (F.col("domain") != F.col("best.domain"))).agg(F.max("score").alias("next"))
     status = F.when(F.col("best").isNull(), "UNKNOWN").when(F.col("best.score") - F.col("next") < F.col("best.minimum_margin"), "AMBIGUOUS").otherwise("RESOLVED")
     return scored.join(F.broadcast(best)).join(F.broadcast(others)).select("domain", "metrics", "score", "eligible", F.when(F.col("domain") == F.col("best.domain"), status).alias("status"))
