@@ -68,33 +68,37 @@ def columns(s: SparkSession, d: str) -> DataFrame:
 
     def of_table(table: str) -> DataFrame:
         df = V.table(s, d, table)
-        made = []
+        cells, made = [], []
         for k, c in enumerate(df.columns):
-            cell = F.col(c).cast("string")
+            cell, kind = F.col(c).cast("string"), df.schema[c].dataType
             here = cell.isNotNull() & (F.trim(cell) != "")
             # Numbers and dates begin with digits; no other text is looked at any further.
-            digits, kind = here & cell.rlike(r"^\s*[+-]?\.?[0-9]"), df.schema[c].dataType
+            digits = here & cell.rlike(r"^\s*[+-]?\.?[0-9]")
             number, text = isinstance(kind, T.NumericType), isinstance(kind, T.StringType)
-            x = F.col(c).cast("double") if number else F.when(digits, numeric_cell(cell)) if text else F.lit(None).cast("double")
-            dates = F.lit(0).cast("long") if number else F.count(F.when(digits, period_time(cell))) if text else F.count(c)
-            whole = F.abs(x - F.round(x)) <= 1e-9
+            cells += [
+                here.alias(f"h{k}"),
+                F.xxhash64(cell).alias(f"v{k}"),
+                (F.col(c).cast("double") if number else F.when(digits, numeric_cell(cell)) if text else F.lit(None).cast("double")).alias(f"x{k}"),
+                (F.lit(False) if number else F.coalesce(digits & period_time(cell).isNotNull(), F.lit(False)) if text else here).alias(f"d{k}"),
+            ]
             around = [*df.columns[max(0, k - 2) : k], *df.columns[k + 1 : k + 3]]
+            h, v, x = (F.col(f"{name}{k}") for name in "hvx")
             made.append(
                 F.struct(
                     F.lit(c).alias("name"),
                     F.lit(" ".join([_OBJECTIVE, *around])).alias("context"),
-                    F.count_if(here).alias("n"),
+                    F.count_if(h).alias("n"),
                     F.count(F.lit(1)).alias("n_rows"),
-                    F.approx_count_distinct(cell, 0.02).alias("unique"),
+                    F.approx_count_distinct(F.when(h, v), 0.02).alias("unique"),
                     F.count(x).alias("numbers"),
-                    dates.alias("dates"),
+                    F.count_if(F.col(f"d{k}")).alias("dates"),
                     F.coalesce(F.bool_and(x >= 0), F.lit(True)).alias("positive"),
-                    F.coalesce(F.bool_and(whole), F.lit(True)).alias("whole"),
+                    F.coalesce(F.bool_and(F.abs(x - F.round(x)) <= 1e-9), F.lit(True)).alias("whole"),
                     F.max(x).alias("high"),
-                    F.when(F.count_if(here) == F.count(x), "numeric").otherwise("categorical").alias("kind"),
+                    F.when(F.count_if(h) == F.count(x), "numeric").otherwise("categorical").alias("kind"),
                 )
             )
-        return df.agg(F.array(*made).alias("c")).select(F.lit(table).alias("table"), F.explode("c").alias("c")).select("table", "c.*")
+        return df.select(*cells).agg(F.array(*made).alias("c")).select(F.lit(table).alias("table"), F.explode("c").alias("c")).select("table", "c.*")
 
     # Some dozens of rows, which the short list reads twice.
     return kept(reduce(DataFrame.unionByName, [of_table(t) for t in _TABLES]))
