@@ -5,9 +5,11 @@ character references are read as browsers read them, as far as text goes.
 
 Elements that only their class or id, or being a form, marks as furniture are not
 furniture if they are or hold an article: pages wrap articles in "sidebar" and in
-forms.  Navigation, asides, hidden elements and the like are furniture whatever
-they hold.  A class or id counts as a whole: "cookie-banner" is made of furniture
-words alone, "has-sidebar" and "no-comments" are not.
+forms.  Navigation, asides, hidden elements, and what is named as comments, replies or
+related texts are furniture whatever they hold: a comment or teaser may well be an
+``article``.  A class or id counts if all of its words are furniture words, or if its
+first or last word is one of a narrower list ("post-comments", "site-footer"); words
+such as "has" and "no" undo that ("has-sidebar", "no-comments").
 
 A block is boxed if a block element with a class or id stands around it, inside of
 the article where there is one, and holds less than half of the text there: such
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 _SKIPPED = "script|style|noscript|template|iframe|svg|math|object|canvas|select|textarea|title|audio|video"
@@ -40,6 +43,11 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal newsletter subscribe subscription share sharing social sidebar sidenav menu navbar nav navigation breadcrumb breadcrumbs comment comments commentlist disqus respond replies related recommended pagination pager widget footer masthead toolbar skip".split()
 )
+#: Words that name comments and teasers of other texts.
+_APART = frozenset("comment comments commentlist disqus respond reply replies related".split())
+#: Words that mark a compound name they begin or end, and words that undo it.
+_ENDS = _APART | frozenset("ads advertisement advertising adsense sponsored cookie cookies consent gdpr newsletter subscribe sidebar sidenav navbar nav navigation breadcrumb breadcrumbs pagination footer share sharing".split())
+_UNDONE = frozenset("has no not non with without hide open opened closed enabled disabled on off".split())
 _OUTER = frozenset(["header"])
 
 
@@ -51,13 +59,18 @@ class Block:
     boxed: bool = False
 
 
-def _named(names: str) -> bool:
-    """Whether a class or id is made of furniture words, numbers aside."""
+def _named(names: str) -> tuple[bool, bool]:
+    """Whether a class or id names furniture, and whether comments or other texts."""
+    furniture = apart = False
     for name in names.split():
         parts = [p for p in _PART.findall(name) if not p.isdigit()]
-        if parts and _WORDS.issuperset(parts):
-            return True
-    return False
+        if not parts:
+            continue
+        whole = _WORDS.issuperset(parts)
+        ends = set() if _UNDONE.intersection(parts) else {parts[0], parts[-1]}
+        furniture |= whole or bool(ends & _ENDS)
+        apart |= bool(ends & _APART)
+    return furniture, apart
 
 
 def _marks(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
@@ -69,7 +82,10 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 boxed = True
-                likely |= name not in ("html", "body") and _named(value)
+                if name not in ("html", "body"):
+                    named, apart = _named(value)
+                    likely |= named
+                    furniture |= apart
             elif key == "role":
                 furniture |= value in _ROLES
                 likely |= value == "form"
@@ -113,6 +129,8 @@ def blocks(page: str) -> list[Block]:
     marked: list[list] = [[0, False, False, False, False, False, False]]
     # Open elements: name, and the innermost marked element.
     stack: list[tuple[str, int]] = [("", 0)]
+    # How many elements of a name are open, so that an end tag without one costs nothing.
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         if text:
@@ -132,15 +150,17 @@ def blocks(page: str) -> list[Block]:
         if name in _BLOCK:
             flush()
         if token["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if stack[-1][1] != stack[k - 1][1]:
-                        flush()
-                    del stack[k:]
-                    break
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                if stack[-1][1] != stack[k - 1][1]:
+                    flush()
+                opened.subtract(n for n, _ in stack[k:])
+                del stack[k:]
             continue
         while len(stack) > 1 and name in _IMPLIED.get(stack[-1][0], ()):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         if name in _VOID or (token["attrs"] or "").endswith("/"):
             continue
         furniture, likely, main, boxed = _marks(name, token["attrs"] or "")
@@ -154,6 +174,7 @@ def blocks(page: str) -> list[Block]:
             marked.append([at_mark, furniture, likely, main, outer, main, boxed])
             at_mark = len(marked) - 1
         stack.append((name, at_mark))
+        opened[name] += 1
     text.append(page[at:])
     flush()
     inside, article, boxes = _settled(marked, out)

@@ -89,3 +89,43 @@ def test_extra_columns_with_clashing_names_and_long_pages(spark):
 @pytest.mark.parametrize(("page", "boxed"), [("<p class='x'>a</p>", [False]), ("<div class='a'>b c</div><p>d e f g</p>", [True, False]), ("<p>a long text <span class='s'>in</span> line</p><div id='d'>b</div>", [False, True])])
 def test_boxes(page, boxed):
     assert [b.boxed for b in blocks(page)] == boxed
+
+
+def main_text(page):
+    found = blocks(page)
+    some = any(b.main and not b.furniture for b in found)
+    return " ".join(b.text for b in found if not b.furniture and b.main == some)
+
+
+@pytest.mark.parametrize(
+    "rest",
+    [
+        '<div id="comments"><article class="comment-body">Nice post</article></div>',
+        '<section class="comments"><article class="comment">Nice post</article></section>',
+        '<div class="related"><article>Other headline</article></div>',
+        '<div class="related-posts"><main>Other headline</main></div>',
+        '<ol class="comment-list"><li class="comment even thread-even depth-1"><article id="div-comment-3" class="comment-body"><p>Nice</p></article><ol class="children"><li class="comment odd"><article class="comment-body"><p>post</p></article></li></ol></li></ol>',
+        '<div class="reply-list"><p>Nice post</p></div>',
+        '<div id="disqus_thread">Nice post</div>',
+    ],
+)
+def test_comments_and_teasers_are_no_main_text(rest):
+    assert main_text(f"<article><p>Body</p></article>{rest}") == "Body"
+    assert main_text(f"<article><p>Body</p>{rest}<p>end</p></article>") == "Body end"
+    assert main_text(f"<div><p>Body</p></div>{rest}") == "Body"
+
+
+def test_names_on_wrappers_do_not_drop_articles():
+    for name in ("has-sidebar", "no-comments", "comments-closed", "with-related", "content-sidebar-wrap", "elementor-widget", "sidebar", "site-footer"):
+        assert main_text(f'<div class="{name}"><article class="post comments-open"><p>Body</p></article></div>') == "Body"
+    for name in ("elementor-widget", "has-sidebar", "comments-open", "story-body"):
+        assert main_text(f'<div class="{name}"><p>Body</p></div>') == "Body"
+    assert main_text('<body class="comments single"><p>Body</p></body>') == "Body"
+
+
+def test_end_tags_without_a_start_cost_nothing():
+    import time
+
+    began = time.perf_counter()
+    assert main_text("<b>x" * 30_000 + "</i>" * 30_000 + "<p>end") .endswith("end")
+    assert time.perf_counter() - began < 5
