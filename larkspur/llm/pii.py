@@ -316,13 +316,17 @@ def mask(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **optio
     discovered only if anything was.
     """
     added = _added(scratch.cut(base_spans(docs, doc_id=doc_id, text=text)), **options)
-    rows = _with_base(docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))), "_text", "_base")
+    # The input's columns stand in one struct, so none of them can meet a helper's name.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"))
+    before = F.col("row")[text]
+    rows = _with_base(packed.withColumn("_text", F.coalesce(before, F.lit(""))), "_text", "_base")
     spans = _narrow(F.col("_base"))
     if added is not None:
-        rows = rows.withColumn("_key", row_key(F.col(doc_id), F.col("_text"))).join(added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "_key", "left")
+        rows = rows.withColumn("_key", row_key(F.col("row")[doc_id], F.col("_text"))).join(added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "_key", "left")
         spans = F.array_sort(F.concat(spans, F.coalesce("_added", F.expr(f"cast(array() as array<{_SPAN}>)"))))
     rows = rows.withColumn("_spans", spans)
-    return rows.withColumn(text, F.when(F.col(text).isNull() | (F.size("_spans") == 0), F.col(text)).otherwise(masked(F.col("_text"), F.col("_spans")))).select(*docs.columns)
+    after = F.when(before.isNull() | (F.size("_spans") == 0), before).otherwise(masked(F.col("_text"), F.col("_spans")))
+    return rows.select(*[(after if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

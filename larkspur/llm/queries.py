@@ -53,10 +53,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.fresh_dir(spark, "token-shards")
-    shards = tokenbin.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
-    rows = scratch.cut(tokenbin.read(spark, shards))
-    scratch.remove_dir(spark, folder)
-    return rows
+    try:
+        shards = tokenbin.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
+        return scratch.cut(tokenbin.read(spark, shards))
+    finally:
+        scratch.remove_dir(spark, folder)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +75,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.fresh_dir(spark, "warc")
-    archives = warc.write(_table(spark, sf_dir, "pages"), folder)
-    rows = scratch.cut(warc.read(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    scratch.remove_dir(spark, folder)
-    return rows
+    try:
+        archives = warc.write(_table(spark, sf_dir, "pages"), folder)
+        return scratch.cut(warc.read(spark, archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        scratch.remove_dir(spark, folder)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

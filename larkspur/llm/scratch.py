@@ -37,6 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or FALLBACK_DIR
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
