@@ -167,3 +167,19 @@ def test_very_long_texts_and_repeated_rows(spark):
     bench = spark.createDataFrame([(5, " ".join(f"v{k}" for k in range(60_000, 60_010)))], "item_id long, text string")
     assert [r.contamination.n_hit for r in decontaminate.scan(docs, bench).collect()] == [10, 10, 10]
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()) == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_stages_pass_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs, rows = small_docs(spark)
+    names = ["_text", "_before", "_id", "_n", "_row", "_shorter", "_score", "_contamination", "_base", "_spans", "_key", "row", "score", "contamination", "kept", "print"]
+    mine = docs.withColumns({c: F.lit(f"mine {c}") for c in names})
+    spark.createDataFrame([(1, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for stage, n in ((P.quality_filter, len(rows)), (P.near_dedup, len(rows) - 3), (P.decontamination, len(rows) - 1), (P.mask_pii, len(rows))):
+        got = stage(spark, mine, str(tmp_path))
+        assert got.columns == mine.columns and got.count() == n
+        assert {tuple(r) for r in got.select(*names).distinct().collect()} == {tuple(f"mine {c}" for c in names)}
+    masked = P.mask_pii(spark, mine.filter("doc_id = 22"), str(tmp_path)).first()
+    assert masked.text == "mail <email> or <ip>" and "@" not in str(masked)
