@@ -43,7 +43,14 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
     Only the first lines reach the driver, for the delimiter and the names.
     """
-    peek = "\n".join(r[0] for r in spark.read.text(path).take(_PEEK_LINES)).removeprefix("﻿")
+    n, peek = _PEEK_LINES, ""
+    while True:
+        lines = spark.read.text(path).take(n)
+        peek = "\n".join(r[0] for r in lines).removeprefix("\ufeff")
+        # A first record with line breaks in its quotes may go on behind these lines.
+        if len(lines) < n or peek.count('"') % 2 == 0 or re.search(r'[\r\n]', _QUOTED.sub("", peek)):
+            break
+        n *= 4
     if not peek:
         raise ValueError("the file is empty")
     sep = delimiter(peek)

@@ -77,24 +77,31 @@ def _text(cell: ET.Element, shared: list[str], dates: list[bool]) -> str | None:
     return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
 
 
+def sheet_rows(book: zipfile.ZipFile, part: str, shared: list[str], dates: list[bool], wanted: set[int] | None = None) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(row from 1, outline level, cells) of one sheet; cells of columns that are not wanted
+    are not decoded and stand as '-' if they hold anything."""
+    at = 0
+    with book.open(part) as stream:
+        for _, node in ET.iterparse(stream):
+            if node.tag != f"{_MAIN}row":
+                continue
+            at = int(node.get("r", at + 1))
+            cells: list[str | None] = []
+            for cell in node.iter(f"{_MAIN}c"):
+                k = _column(cell.get("r", "")) if cell.get("r") else len(cells)
+                cells += [None] * (k - len(cells))
+                cells.append(_text(cell, shared, dates) if wanted is None or k in wanted else "-" if len(cell) else None)
+            yield at, int(node.get("outlineLevel", 0)), cells
+            node.clear()
+
+
 def rows_of(content: bytes) -> Iterator[tuple[int, str, int, int, list[str | None]]]:
     """(sheet number, sheet, row from 1, outline level, cells) of a workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared, dates = _shared(book), _date_styles(book)
         for number, (name, part) in enumerate(_sheets(book)):
-            at = 0
-            with book.open(part) as stream:
-                for _, node in ET.iterparse(stream):
-                    if node.tag != f"{_MAIN}row":
-                        continue
-                    at = int(node.get("r", at + 1))
-                    cells: list[str | None] = []
-                    for cell in node.iter(f"{_MAIN}c"):
-                        k = _column(cell.get("r", "")) if cell.get("r") else len(cells)
-                        cells += [None] * (k - len(cells))
-                        cells.append(_text(cell, shared, dates))
-                    yield number, name, at, int(node.get("outlineLevel", 0)), cells
-                    node.clear()
+            for row in sheet_rows(book, part, shared, dates):
+                yield number, name, *row
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
