@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.columns import pearson
 from larkspur.operators import identity as I
-from larkspur.operators import inference, scenario
+from larkspur.operators import inference, scenario, series
 from larkspur.plans import investigation_queries as Q
 from larkspur.plans import views as V
 
@@ -94,20 +94,41 @@ QUERIES["lag_self_join"] = lambda s, d: _pairs(s, d).select("signal", "lag", "id
 SQL["lag_self_join"] = f"WITH {V.WEEKLY_SQL} SELECT l.signal, CAST(k.lag AS BIGINT) AS lag, CAST(l.idx AS BIGINT) AS idx, l.x, t.x AS y FROM long l CROSS JOIN (SELECT unnest(range(4)) AS lag) k JOIN long t ON t.signal = 'revenue' AND t.idx = l.idx + k.lag WHERE l.signal <> 'revenue' AND k.lag <= floor(l.n_rows / 4)"
 
 
-def precursor_chain(s: SparkSession, d: str, anchor: str = "revenue") -> DataFrame:
-    """The five strongest signals before the anchor, longest lag first, with significance and stability."""
-    lags = inference.holm(_p_values(s, d), ["signal"])
-    best = F.max_by(F.struct("lag", "n", "r", "p", "significant"), F.struct(F.abs("r"), -F.col("lag")))
-    edges = lags.groupBy("signal").agg(best.alias("b")).select("signal", "b.*")
-    chosen = edges.orderBy(F.desc(F.abs("r")), "signal").limit(5)
-    pairs = _pairs(s, d, anchor).join(chosen.select("signal", "lag", "n"), ["signal", "lag"])
-    seed = F.concat("signal", F.lit(f"->{anchor}:"), F.col("n").cast("string"))
-    stable = inference.bootstrap(pairs, seed)
-    joined = chosen.join(stable, ["signal", "lag"], "left")
-    return joined.select("signal", "lag", "n", *[F.round(c, 6).alias(c) for c in ("r", "p", "median", "low", "high")], "significant", "stability").orderBy(F.desc("lag"), F.desc(F.abs("r")))
+def _wide(s: SparkSession, d: str) -> DataFrame:
+    """The weekly series with its running number; one row a week."""
+    return V.weekly(s, d).withColumn("idx", F.row_number().over(Window.orderBy("week")) - 1)
+
+
+def precursor_chain(s: SparkSession, d: str, target: str | None = None) -> DataFrame:
+    """The strongest signals before the anchor, longest lag first, with significance and stability."""
+    made = series.chain(_wide(s, d), list(V.WEEKLY), target)
+    return made.select("signal", "anchor", "lag", "n", *[F.round(c, 6).alias(c) for c in ("r", "p", "low", "high", "median", "stable_low", "stable_high")], "significant", "stability").orderBy(F.desc("lag"), F.desc(F.abs("r")))
+
+
+def _edges(s: SparkSession, d: str, target: str | None) -> DataFrame:
+    wide = _wide(s, d)
+    chosen = series.edges(series.lags(wide, list(V.WEEKLY), series.findings(wide, list(V.WEEKLY)), target))
+    return chosen.crossJoin(F.broadcast(series.risk(chosen))).select("signal", "anchor", "lag", "n", *[F.round(c, 6).alias(c) for c in ("r", "low", "high", "risk")], "label")
 
 
 QUERIES["precursor_chain"] = precursor_chain
+QUERIES["precursor_edges"] = lambda s, d: _edges(s, d, None)
+QUERIES["precursor_edges_of_target"] = lambda s, d: _edges(s, d, "customers")
+
+
+def _edges_sql(target: str | None) -> str:
+    return f"""WITH {V.WEEKLY_SQL}, f AS (SELECT signal, row_number() OVER (ORDER BY round(abs(z), 9) DESC, place) AS rank FROM (SELECT signal, list_position({list(V.WEEKLY)}, signal) AS place, coalesce((arg_max(x, idx) - avg(x)) / nullif(stddev_pop(x), 0), 0) AS z FROM long GROUP BY 1 HAVING count(x) >= 3) WHERE abs(z) >= 1),
+a AS (SELECT {f"'{target}'" if target else "(SELECT signal FROM f WHERE rank = 1)"} AS anchor),
+found AS (SELECT l.signal, anchor, k.lag, count(*) AS n, coalesce(covar_pop(l.x, t.x) / nullif(stddev_pop(l.x) * stddev_pop(t.x), 0), 0) AS r FROM long l JOIN f USING (signal) CROSS JOIN a CROSS JOIN (SELECT unnest(range(4)) AS lag) k JOIN long t ON t.signal = anchor AND t.idx = l.idx + k.lag
+  WHERE l.signal <> anchor AND k.lag <= floor(l.n_rows / 4) GROUP BY ALL),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY signal ORDER BY round(abs(r), 12) DESC, lag) = 1), top AS (SELECT * FROM best ORDER BY round(abs(r), 9) DESC, signal LIMIT 5),
+c AS (SELECT *, greatest(-0.999999, least(0.999999, r)) AS k FROM top), risk AS (SELECT least(1, greatest(0, avg(abs(r)) * least(1, min(n) / 30))) AS risk FROM top)
+SELECT signal, anchor, CAST(lag AS BIGINT) AS lag, CAST(n AS BIGINT) AS n, round(r, 6) AS r, CASE WHEN n >= 6 THEN round(tanh(0.5 * ln((1 + k) / (1 - k)) - CAST(1.959963985 AS DOUBLE) / sqrt(n - 3)), 6) END AS low, CASE WHEN n >= 6 THEN round(tanh(0.5 * ln((1 + k) / (1 - k)) + CAST(1.959963985 AS DOUBLE) / sqrt(n - 3)), 6) END AS high,
+  round(risk, 6) AS risk, CASE WHEN risk < 0.33 THEN 'LOW' WHEN risk < 0.66 THEN 'MEDIUM' ELSE 'HIGH' END AS label FROM c, risk"""
+
+
+SQL["precursor_edges"] = _edges_sql(None)
+SQL["precursor_edges_of_target"] = _edges_sql("customers")
 QUERIES["bootstrap"] = lambda s, d: inference.bootstrap(_pairs(s, d), F.concat_ws("->", "signal", F.lit("revenue")))
 _STRENGTH = ((0.2, "very weak"), (0.4, "weak"), (0.6, "moderate"), (0.8, "strong"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_replenishment import SF, oracle, rows_of  # noqa: F401
 
-from larkspur.operators import identity, inference, scenario, validation
+from larkspur.operators import identity, inference, scenario, series, validation
 from larkspur.plans import decision_queries as Q
 from larkspur.sources import delimited, sinks, workbook
 from larkspur.streaming import bursts
@@ -72,9 +72,40 @@ def test_bootstrap_of_a_line():
 
 
 def test_precursors(spark):
-    got = Q.precursor_chain(spark, SF).collect()
+    sf = "/root/testdata/sf0.01"
+    got = Q.precursor_chain(spark, sf).collect()
     assert 0 < len(got) <= 5 and [r.lag for r in got] == sorted((r.lag for r in got), reverse=True)
-    assert all(r.low <= r["median"] <= r.high for r in got)
+    assert all(r.stable_low <= r["median"] <= r.stable_high and r.low <= r.r <= r.high for r in got)
+    assert {r.anchor for r in Q.precursor_chain(spark, sf, "customers").collect()} == {"customers"}
+
+
+def test_lags_against_plain_pairs(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=60)
+    wide = {"a": a, "b": np.roll(a, 2) + rng.normal(size=60) / 5, "c": np.r_[rng.normal(size=59), 9.0], "d": rng.normal(size=60), "flat": np.ones(60)}
+    for name in wide:
+        wide[name] = [None if rng.random() < 0.1 and k < 59 else float(v) for k, v in enumerate(wide[name])]
+    wide["a"][59] = wide["b"][59] = 7.0
+    wide["d"] = [*wide["d"][:4], *[None] * 55, 5.0]
+    frame = spark.createDataFrame(list(zip(range(60), *wide.values())), "idx long, " + ", ".join(f"{k} double" for k in wide))
+    found = series.findings(frame, list(wide))
+    z = {k: (vs[-1] - np.mean(vs)) / np.std(vs) if np.std(vs) else 0.0 for k, v in wide.items() for vs in [[x for x in v if x is not None]]}
+    want = sorted((k for k in z if abs(z[k]) >= 1), key=lambda k: -abs(z[k]))
+    assert [r.signal for r in found.orderBy("rank").collect()] == want and {"a", "b", "c"} <= set(want)
+    for target in (None, "b", "absent"):
+        anchor = target if target in wide else want[0]
+        got = {(r.signal, r.lag): (r.anchor, r.n, r.r) for r in series.lags(frame, list(wide), found, target).collect()}
+        plain = {}
+        for k in want:
+            for lag in range(4) if k != anchor else ():
+                pairs = [(x, y) for x, y in zip(wide[k], wide[anchor][lag:]) if x is not None and y is not None]
+                if len(pairs) < 5:
+                    break
+                r = np.corrcoef(np.array(pairs).T)[0, 1] if len({x for x, _ in pairs}) > 1 else 0.0
+                plain[k, lag] = (anchor, len(pairs), pytest.approx(r))
+        assert got == plain
+    assert series.chain(frame.limit(0), list(wide)).count() == 0
+    assert tuple(series.risk(series.edges(series.lags(frame.limit(2), list(wide), series.findings(frame.limit(2), list(wide))))).first()) == (0.0, "LOW")
 
 
 def test_scenario_must_be_a_chain(spark):
