@@ -78,7 +78,7 @@ def edges(lagged: DataFrame) -> DataFrame:
 
 def risk(chosen: DataFrame) -> DataFrame:
     """risk and label: the mean strength of the edges, less where pairs are few; 0 without edges."""
-    value = F.coalesce(clamp(F.avg(F.abs("r")) * clamp(F.min("n") / ENOUGH, 0.0, 1.0), 0.0, 1.0), F.lit(0.0))
+    value = F.when(F.count("r") > 0, clamp(F.avg(F.abs("r")) * clamp(F.min("n") / ENOUGH, 0.0, 1.0), 0.0, 1.0)).otherwise(0.0)
     return chosen.agg(value.alias("risk")).withColumn("label", F.when(F.col("risk") < 0.33, "LOW").when(F.col("risk") < 0.66, "MEDIUM").otherwise("HIGH"))
 
 
