@@ -17,14 +17,15 @@ def _bucket(value: Column) -> Column:
 def values_at(df: DataFrame, value: str, ranks: dict[str, Callable[[Column], Column]], by: list[str] | None = None) -> DataFrame:
     """The groups with one column for each rank: the value at that place, from 0 on.
 
-    A rank is given as an expression of the number of values, nulls not counted.
+    A rank is given as an expression of the number of values; nulls, NaN and infinite
+    values are not counted, and a null rank has no value.
     Values are counted, the counts are added up by buckets, and only the buckets that
     hold a wanted rank are sorted.  The running sums are over buckets, some ten
     thousand at most for each group, whatever the input.  Groups without a value
     have no row.
     """
     by = by or []
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bucket(F.col(value)))
+    counted = df.filter(F.abs(value) < float("inf")).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bucket(F.col(value)))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     totals = counted.groupBy(*by, "_b").agg(F.sum("_n").alias("_in")).withColumns({"_upto": F.sum("_in").over(group.orderBy("_b")), "_all": F.sum("_in").over(group)})
     asked = F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_all")).cast("long").alias("rank")) for name, rank in ranks.items()])

@@ -19,9 +19,10 @@ def with_millis(log: DataFrame) -> DataFrame:
 
 
 def type_counts(log: DataFrame) -> DataFrame:
-    """Count and share of each event type; the total is one row, joined by broadcast."""
-    total = log.agg(F.count(F.lit(1)).alias("total"))
-    return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("event_type", "n", "total", (F.col("n") / F.col("total")).alias("share"))
+    """Count and share of each event type; the total is the sum of the counts."""
+    counts = log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("event_type", "n", "total", (F.col("n") / F.col("total")).alias("share"))
 
 
 def entity_activity(log: DataFrame) -> DataFrame:
@@ -77,6 +78,36 @@ def sessions(log: DataFrame, keys: list[str], least: int, gap_ms: int = WINDOW_M
     return made.alias("e").join(large.alias("g"), _same([*keys, "run"], "e", "g")).select("e.*", "g.size")
 
 
+def in_runs(log: DataFrame, flags: dict[str, tuple[list[str], int]], gap_ms: int = WINDOW_MS) -> DataFrame:
+    """``log`` with a truth value for each of ``flags``: whether the event stands in a run of
+    its keys with so many events or more, neighbours at most ``gap_ms`` apart.
+
+    That depends on the nearest events only, so runs are neither numbered nor joined.
+    A busy key is cut into days; events near midnight are also laid into the day beside,
+    where they are seen and not returned.  All keys must begin with the same one: one
+    shuffle by it and the day then serves all of them.
+    """
+    first = next(iter(flags.values()))[0][0]
+    reach = gap_ms * (max(least for _, least in flags.values()) - 1)
+    day = lambda shift: F.floor((F.col("ms") + shift) / DAY_MS)
+    days = F.when(F.col("ms").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array_distinct(F.array(day(-reach), day(0), day(reach))))
+    rows = with_millis(log).withColumn("_day", F.explode(days)).repartition(first, "_day")
+    made = {}
+    for name, (keys, least) in flags.items():
+        order = Window.partitionBy(*keys, "_day").orderBy("ms", "source_row")
+        # steps[k]: whether the k-th step around the event is short enough.
+        at = lambda k: F.lead("ms", k).over(order) if k > 0 else F.lag("ms", -k).over(order) if k else F.col("ms")  # noqa: B023, E731
+        steps = [F.coalesce(at(k + 1) - at(k) <= gap_ms, F.lit(False)) for k in range(-(least - 1), least - 1)]
+        held = F.lit(False)
+        for k in range(least):
+            whole = F.lit(True)
+            for step in steps[k : k + least - 1]:
+                whole = whole & step
+            held = held | whole
+        made[name] = held
+    return rows.withColumns(made).filter(F.col("ms").isNull() | (F.col("_day") == day(0))).drop("_day")
+
+
 def median_gap(log: DataFrame) -> DataFrame:
     """median_gap_ms: of the gaps between consecutive events of the whole log.
 
@@ -109,29 +140,38 @@ def rare_types(log: DataFrame) -> DataFrame:
 
 
 def value_bounds(log: DataFrame) -> DataFrame:
-    """Bounds of the usual values: floor quantiles and 1.5 interquartile ranges.
-
-    Values are taken at ranks, see ``values_at``.
+    """Bounds of the usual values: floor quantiles and 1.5 interquartile ranges, from four
+    values on; no row below.  Values are taken at ranks, see ``values_at``.
     """
-    total = log.agg(F.count("value").alias("total"))
-    quart = values_at(log, "value", {"q1": lambda n: F.floor((n - 1) * 0.25), "q3": lambda n: F.floor((n - 1) * 0.75)})
+    at = lambda share: lambda n: F.when(n >= 4, F.floor((n - 1) * share))
+    quart = values_at(log, "value", {"q1": at(0.25), "q3": at(0.75)})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    return quart.join(F.broadcast(total)).filter("total >= 4").select("q1", "q3", F.round(F.col("q1") - reach, 12).alias("low"), F.round(F.col("q3") + reach, 12).alias("high"))
+    return quart.filter("q1 is not null").select("q1", "q3", F.round(F.col("q1") - reach, 12).alias("low"), F.round(F.col("q3") + reach, 12).alias("high"))
 
 
 def outliers(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(value_bounds(log))).filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
 
 
+FLAGS = ("rare", "odd", "burst", "again")
+
+
 def notable(log: DataFrame) -> DataFrame:
-    """Events with reasons; flags attach by event id, so duplicate ids share them."""
-    rare = rare_types(log).select("event_type", F.lit(True).alias("rare"))
-    odd = outliers(log).select("event_id").distinct().withColumn("odd", F.lit(True))
-    burst = sessions(log, ["entity_id"], 3).select("event_id").distinct().withColumn("burst", F.lit(True))
-    again = sessions(log, REPEAT, 2).select("event_id").distinct().withColumn("again", F.lit(True))
-    flagged = log.join(rare, "event_type", "left").join(odd, "event_id", "left").join(burst, "event_id", "left").join(again, "event_id", "left")
-    reasons = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in ("rare", "odd", "burst", "again")]))
-    return flagged.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+    """Events with reasons; flags but ``rare`` attach by event id, so duplicate ids share them.
+
+    The log is read three times: for its rows, its types and its values.
+    """
+    rare = rare_types(log).select("event_type", F.lit(True).alias("_rare"))
+    rows = in_runs(log, {"burst": (["entity_id"], 3), "again": (REPEAT, 2)})
+    # One row at most, and as many as there are types.
+    bounds = value_bounds(log).agg(F.first("low").alias("_low"), F.first("high").alias("_high"))
+    rows = rows.join(F.broadcast(bounds)).join(rare, "event_type", "left")
+    rows = rows.withColumns({"rare": F.coalesce("_rare", F.lit(False)), "odd": F.coalesce((F.col("value") < F.col("_low")) | (F.col("value") > F.col("_high")), F.lit(False))})
+    # Events without an id share nothing; they are spread by their rows.
+    own = Window.partitionBy("event_id", F.when(F.col("event_id").isNull(), F.col("source_row")))
+    shared = {c: F.max(c).over(own) & F.col("event_id").isNotNull() for c in FLAGS[1:]}
+    reasons = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in FLAGS]))
+    return rows.withColumns(shared).withColumn("reasons", reasons).filter(F.size("reasons") > 0).select(*log.columns, "reasons")
 
 
 def reason_texts(marked: DataFrame) -> DataFrame:
@@ -154,10 +194,12 @@ def reason_texts(marked: DataFrame) -> DataFrame:
 def entity_detail(log: DataFrame, entity: str) -> DataFrame:
     """One entity: its activity, notable events, clusters and why it is highlighted."""
     mine = F.col("entity_id") == entity
-    marks = notable(log).filter(mine).agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("notable"))
+    marks = notable(log).filter(mine).agg(F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("notable"), F.count(F.lit(1)).alias("_marked"))
     near = groups(log.filter(mine), ["entity_id"], 2).agg(F.count(F.lit(1)).alias("clusters"))
-    why = highlighted(log).filter(mine).agg(F.coalesce(F.max(F.concat_ws(",", F.when(F.col("n") > F.col("median"), "busy"), F.when(F.col("notable") > 0, "notable"))), F.lit("")).alias("reasons"))
-    return entity_activity(log.filter(mine)).join(F.broadcast(marks)).join(F.broadcast(near)).join(F.broadcast(why))
+    middle = medians(log.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")), "n")
+    rows = entity_activity(log.filter(mine)).join(F.broadcast(marks)).join(F.broadcast(near)).join(F.broadcast(middle))
+    why = F.concat_ws(",", F.when(F.col("n") > F.col("median"), "busy"), F.when(F.col("_marked") > 0, "notable"))
+    return rows.withColumn("reasons", why).drop("_marked", "median")
 
 
 def highlighted(log: DataFrame) -> DataFrame:
