@@ -14,10 +14,10 @@ the row id, and the queries of a leaf likewise, so that a task holds one bounded
 block of each, whatever the size of a leaf; a leaf is sent once for each block of
 the queries that visit it, and not at all if none does.
 
-Defined results: vectors that are null, zero, of another dimension than the widest
-group in the sample, or that hold null or non-finite components take no part; a
-repeated id counts once, with its best score, and as a query its smallest vector
-stands; ties go to the smaller id; a query with fewer candidates returns them all;
+Defined results: vectors that are null, zero, or that hold null or non-finite
+components take no part; vectors are compared with those of their own length, and
+each length is searched by itself; a repeated id counts once for each length, with its
+best score, and as a query its smallest vector stands; ties go to the smaller id; a query with fewer candidates returns them all;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,10 +27,10 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,20 +241,24 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
 
     The tree is fitted on ``sample`` rows, or a fiftieth of them, ``MAX_SAMPLE`` at most.
     """
-    spark = embeddings.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double, recall double"
     all_rows = embeddings.filter(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    n_rows = all_rows.count()
+    # Only vectors of one length can be compared; each length has a tree of its own.
+    lengths = {r.dim: r.n for r in all_rows.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [_of_length(all_rows.filter(F.size("vec") == dim), n, k, target, sample, branch, max_leaves, block) for dim, n in sorted(lengths.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else embeddings.sparkSession.createDataFrame([], _FOUND)
+
+
+_FOUND = "query_id long, rank int, vec_id long, score double, recall double"
+
+
+def _of_length(rows: DataFrame, n_rows: int, k: int, target: float, sample: int, branch: int, max_leaves: int, block: int) -> DataFrame:
+    """The search over vectors of one length."""
+    spark = rows.sparkSession
     sample = max(sample, min(MAX_SAMPLE, n_rows // 50))
-    drawn = all_rows.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(sample).toArrow()
-    if not drawn.num_rows:
-        return spark.createDataFrame([], schema)
-    sizes = Counter(pc.list_value_length(drawn.column("vec")).to_pylist())
-    dim = max(sizes, key=lambda n: (sizes[n], n))
-    rows = all_rows.filter(F.size("vec") == dim)
+    drawn = rows.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(sample).toArrow()
     length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     longest = rows.agg(F.max(length)).first()[0]
-    points = _unpacked(drawn.filter(pc.equal(pc.list_value_length(drawn.column("vec")), dim)).column("vec"))
+    points = _unpacked(drawn.column("vec"))
     tree = fit(points, longest, branch, max(max_leaves, min(len(points) // (4 * branch), n_rows // ROWS_A_LEAF)))
     shared = spark.sparkContext.broadcast(tree)
 
@@ -268,7 +272,7 @@ def search(embeddings: DataFrame, is_query: Column, *, vec_id: str = "vec_id", v
     queries = index.filter("asks").groupBy("id").agg(F.min("vec").alias("vec"))
     checks = queries.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CHECKS).toArrow()
     if not checks.num_rows:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _FOUND)
     check = (checks.column("id").to_numpy(), _unpacked(checks.column("vec")))
     truth = _brute(index, check, k)
     # One short row a leaf; leaves are at most max_leaves.

@@ -12,7 +12,8 @@ import hashlib
 import ahocorasick
 import numpy as np
 
-MAX_BYTES = 32 << 20
+#: An automaton takes some 45 times the memory of its text, once in each Python worker.
+MAX_BYTES = 4 << 20
 
 _built: dict[str, ahocorasick.Automaton] = {}
 

@@ -183,3 +183,22 @@ def test_stages_pass_columns_of_any_name(spark, tmp_path):
         assert {tuple(r) for r in got.select(*names).distinct().collect()} == {tuple(f"mine {c}" for c in names)}
     masked = P.mask_pii(spark, mine.filter("doc_id = 22"), str(tmp_path)).first()
     assert masked.text == "mail <email> or <ip>" and "@" not in str(masked)
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    from larkspur.llm import ann
+
+    rng = np.random.default_rng(8)
+    vectors = {k: rng.normal(size=4 if k % 3 else 6).tolist() for k in range(240)}
+    rows = [(k, v) for k, v in vectors.items()] + [(900, [1.0]), (901, None), (902, [float("inf")] * 4), (903, [0.0] * 6)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    # The only vector of one component has no other row to find.
+    assert set(got) == {k for k in range(240) if k % 20 == 0}
+    hits = 0
+    for q, found in got.items():
+        want = sorted((-float(np.dot(vectors[q], v)), k) for k, v in vectors.items() if k != q and len(v) == len(vectors[q]))[:20]
+        assert [r for r, *_ in sorted(found)] == list(range(1, len(want) + 1))
+        hits += len({k for _, k, _ in found} & {k for _, k in want}) / len(want)
+    assert hits / len(got) >= 0.9
