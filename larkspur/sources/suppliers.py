@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -32,6 +33,21 @@ class Assumptions:
     least_shelf_life: float = 30.0
     lead_time_by_sku: Mapping[str, float] = field(default_factory=dict)
     growth_by_sku: Mapping[str, float] = field(default_factory=dict)
+    service_levels: Mapping[str, float] = field(default_factory=lambda: {"1": 0.98, "2": 0.95, "3": 0.9, "4": 0.9, "A": 0.98, "B": 0.95, "C": 0.9, "UNCLASSIFIED": 0.95})
+
+    @classmethod
+    def from_controls(cls, *, lead_time_months: float = 2.0, review_period_months: float = 1.0, growth_percent: float = 0.0, shelf_life_percent: float = 30.0, service_a: float = 98.0, service_b: float = 95.0, service_c: float = 90.0, service_unclassified: float = 95.0, **more) -> Assumptions:
+        """Assumptions from what a planner has set, each held to where it has a meaning.
+
+        A lead time is 0.1 months at least, a review period not negative, growth above
+        -99 percent, shelf life from 0 to 100 percent, and 0 where it is no number, and
+        service levels from 90 to 99.5 percent.
+        """
+        level = lambda percent: min(99.5, max(90.0, percent)) / 100
+        shelf = min(100.0, max(0.0, shelf_life_percent)) if math.isfinite(shelf_life_percent) else 0.0
+        a, b, c = level(service_a), level(service_b), level(service_c)
+        levels = {"1": a, "A": a, "2": b, "B": b, "3": c, "4": c, "C": c, "UNCLASSIFIED": level(service_unclassified)}
+        return cls(max(0.1, lead_time_months), max(0.0, review_period_months), growth=max(-99.0, growth_percent) / 100, least_shelf_life=shelf, service_levels=levels, **more)
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame | None:
@@ -143,7 +159,7 @@ def plan_inputs(relations: Mapping[str, DataFrame], assume: Assumptions) -> dict
 def recommend(relations: Mapping[str, DataFrame], assume: Assumptions, *, now: str) -> DataFrame:
     """The recommendation of every series of the suppliers' files."""
     as_of = as_of_month(relations, now)
-    options = replenishment.Options(as_of=as_of, lead_time=assume.lead_time, review_period=assume.review_period)
+    options = replenishment.Options(as_of=as_of, lead_time=assume.lead_time, review_period=assume.review_period, service_levels=dict(assume.service_levels), default_service=assume.service_levels.get("UNCLASSIFIED", 0.95))
     spark = relations["monthly"].sparkSession
     made = plan_inputs(relations, assume)
     empty = lambda schema: spark.createDataFrame([], schema)

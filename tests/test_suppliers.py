@@ -83,3 +83,11 @@ def test_text_rules(spark):
     assert row.forms == ["a", "b", "c", "c", "a", "c"] and row.comma == "1,5" and row.cause == [True, False, False]
     assert row.labels == ["Net flow", "Known"] and row.hash == "e40c292c" and row.key == "емкость склад 1"
     assert row.url.endswith("a%20b") and row.form.endswith("text=a+b")
+
+
+def test_controls_are_held_to_where_they_mean_something():
+    held = suppliers.Assumptions.from_controls(lead_time_months=0, review_period_months=-1, growth_percent=-200, shelf_life_percent=float("nan"), service_a=50, service_b=100, service_unclassified=97.5)
+    assert (held.lead_time, held.review_period, held.growth, held.least_shelf_life) == (0.1, 0.0, -0.99, 0.0)
+    assert held.service_levels == {"1": 0.9, "A": 0.9, "2": 0.995, "B": 0.995, "3": 0.9, "4": 0.9, "C": 0.9, "UNCLASSIFIED": 0.975}
+    assert suppliers.Assumptions.from_controls().service_levels == suppliers.Assumptions().service_levels
+    assert suppliers.Assumptions.from_controls(shelf_life_percent=150, category="A").least_shelf_life == 100.0
