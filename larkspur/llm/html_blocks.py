@@ -6,8 +6,8 @@ character references are read as browsers read them, as far as text goes.
 Elements that only their class or id, or being a form, marks as furniture are not
 furniture if they are or hold an article: pages wrap articles in "sidebar" and in
 forms.  Navigation, asides, hidden elements, and what is named as comments, replies or
-related texts are furniture whatever they hold: a comment or teaser may well be an
-``article``.  A class or id counts if all of its words are furniture words, or if its
+related texts are furniture whatever they hold, as a comment or teaser may well be an
+``article``; an article's own class does not make it one.  A class or id counts if all of its words are furniture words, or if its
 first or last word is one of a narrower list ("post-comments", "site-footer"); words
 such as "has" and "no" undo that ("has-sidebar", "no-comments").
 
@@ -76,16 +76,16 @@ def _named(names: str) -> tuple[bool, bool]:
 def _marks(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
     """(furniture, furniture unless it holds an article, main, boxed) of an opening tag."""
     furniture, likely, main = name in _FURNITURE, name == "form", name in ("article", "main")
-    boxed = False
+    boxed = apart = False
     if "=" in attrs:
         for key, value in _ATTRIBUTE.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
                 boxed = True
                 if name not in ("html", "body"):
-                    named, apart = _named(value)
+                    named, other = _named(value)
                     likely |= named
-                    furniture |= apart
+                    apart |= other
             elif key == "role":
                 furniture |= value in _ROLES
                 likely |= value == "form"
@@ -96,6 +96,8 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool, bool, bool]:
                 furniture |= value == "true"
     if re.search(r"(?:^|\s)hidden(?:\s|=|$|/)", attrs, re.I):
         furniture = True
+    # An article that is itself called so may be the page's only one.
+    furniture |= apart and not main
     main = main and not furniture
     return furniture, likely and not main, main, boxed and not main and name in _BLOCK and name != "body"
 
