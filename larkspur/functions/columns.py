@@ -42,6 +42,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half away from zero after scaling in doubles, as SQL twins round; ``F.round`` goes by a
+    number's decimal text, so 2912.1749999999997, whose hundredfold is 291217.5, differs."""
+    scaled = c * float(10**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / float(10**digits)).otherwise(c)
+
+
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
     """``of(value)`` with the value evaluated once, where a lambda would repeat it."""
     return F.get(F.transform(F.array(value), of), F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.canonical import canonical, digest_of
+from larkspur.functions.columns import rounded
 from larkspur.operators.scenario import Scenario, sweep
 from larkspur.sources.stores import Store
 
@@ -20,7 +21,7 @@ DISCLAIMER = "Сценарная рекомендация для операци
 
 
 def _held(c: Column, digits: int) -> Column:
-    return F.round(c.cast("double"), digits)
+    return rounded(c.cast("double"), digits)
 
 
 def _impacts(s: Scenario, digits: int) -> Column:

@@ -8,6 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.functions.columns import rounded
 from larkspur.operators import catalog as C
 from larkspur.operators import cross_section, slices
 from larkspur.operators import roles as R
@@ -159,6 +160,18 @@ def test_packages_are_the_same_from_any_partitions(spark, tmp_path):
         P.verify_packages(make(3).filter("k <> 1"), path)
 
 
+def test_packages_round_ties_as_their_twin(spark):
+    import duckdb
+
+    values = [2912.1749999999997, 2912.175, -2912.1749999999997, 1.005, 1.115, 0.285, 24377.500000000007, -0.001, 0.0, 1e300, 1.7e308, None]
+    got = [r.r for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").orderBy("k").select(rounded(F.col("x"), 2).alias("r")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 2)", [v]).fetchone()[0] for v in values] and got[0] == 2912.18
+    # 3555.95 - 643.775 is 2912.1749999999997 in doubles.
+    base = spark.createDataFrame([(1, 64377.5, 3555.95)], "k long, load double, cost double")
+    chain = S.Scenario("load", 0, 100, 100, False, (S.Effect("load", "cost", 0.01, note="n"),), target="cost", threshold=0.0)
+    assert '"simulatedValue":2912.18' in P.packages(base, chain, "k", 100, F.lit("h"), digits=2).first().package
+
+
 def test_concepts_by_stage(spark):
     concepts = spark.createDataFrame([("lead_time", ["Lead Time", "срок поставки"], False), ("lead_time_gap", ["lead time gap"], False), ("stock", ["stock"], False), ("other", ["срок поставки"], False), ("whole", ["Grand-Total"], True)], "concept string, aliases array<string>, exact_only boolean")
     names = ["lead_time", "Lead Time", "LEAD-TIME", "lead time, days", "lead time gap (h)", "stock level", "Срок поставки", "Grand-Total", "grand total", "score", "", None, "Ｌead　Time"]
