@@ -208,6 +208,7 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if not 1 <= min_words <= ANCHOR + 56:
         raise ValueError("the windows of an anchor must fit into 57 bits")
     spark = docs.sparkSession
+    scratch.bounded_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
     known = rows.filter("id is not null and text is not null").select("id", "print", "text")
 

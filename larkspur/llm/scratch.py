@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Used only in local mode, and where the session names no checkpoint folder, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/larkspur"
+#: Bytes after which a batch of rows for a Python worker takes no more.
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named or FALLBACK_DIR
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES``, unless the session names a limit.
+
+    Spark counts rows only, and 10,000 whole texts or sets take tens of MB in the JVM and
+    several times that in each Python worker, of which a stage may feed four an executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

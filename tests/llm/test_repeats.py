@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import queries, repeats
+from larkspur.llm import queries, repeats, scratch
 from larkspur.llm.sql import ORACLES
 
 DOCS = "id string, doc_id long, text string, print long, seeds string, kept string"
@@ -104,3 +105,22 @@ def test_query_digests_what_the_operator_keeps(spark, tmp_path):
     assert {k: r.kept_sha256 for k, r in got.items()} == {r.doc_id: r.s for r in want}
     assert {k: r.n_removed for k, r in got.items()} == {d: sum(b - a for a, b in spans) for _, d, _, spans, _ in brute(rows, 13)}
     assert "op11_substring_dedup" in ORACLES
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+    repeats.without_repeats(docs.limit(10)).collect()
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    found = [r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(found) > 16e6 and max(found) < 2 * scratch.BATCH_BYTES
+    # A limit that the session names is left as it is.
+    spark.conf.set(name, "1000000")
+    scratch.bounded_batches(spark)
+    assert spark.conf.get(name) == "1000000"
+    spark.conf.unset(name)
