@@ -279,6 +279,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     Texts are linked if 100 * intersection >= percent * union of their shingle
     sets; ``component_id`` is the smallest document id that links reach.
     """
+    scratch.bounded_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows, bands = banding(percent / 100)
     steps = least_matches(percent / 100)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.llm import scratch
 from larkspur.llm.words import binary_texts
 
 HASHED = 1024
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     The rows are the first in the order of a hash of their ids, so the sample
     does not depend on how the tables are laid out.
     """
+    scratch.bounded_batches(docs.sparkSession)
     taught = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("label"))
         .dropna()
@@ -209,6 +211,7 @@ def _score(batches: Iterator[pa.RecordBatch], text: str, out: str, shared) -> It
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a score column: 0 to 1, higher where label 1 is likelier."""
+    scratch.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.DoubleType())])
 

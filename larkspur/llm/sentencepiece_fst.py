@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from larkspur.llm import scratch
 from larkspur.llm.words import binary_texts
 
 SPACE = "▁"
@@ -319,6 +320,7 @@ def _encode(batches: Iterator[pa.RecordBatch], text: str, model: str, out: str,
 
 def encode(docs: DataFrame, model: str, *, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of every whole text, and their decoding if named."""
+    scratch.bounded_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name not in (out, decoded)]
     fields.append(T.StructField(out, T.ArrayType(T.IntegerType())))
     if decoded:
@@ -332,6 +334,7 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", out: str = "ids",
 
 def decode(rows: DataFrame, model: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text that their ids spell; null ids spell the empty text."""
+    scratch.bounded_batches(rows.sparkSession)
     fields = [f for f in rows.schema.fields if f.name != out] + [T.StructField(out, T.StringType())]
 
     def task(batches):

@@ -153,6 +153,16 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert got == {k: library.encode(t) for k, t in want.items()}
 
 
+def test_pipeline_stages_bound_their_batches(spark):
+    from larkspur.llm import decontaminate, minhash, quality, scratch, sentencepiece_fst
+
+    name, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([], "doc_id long, text string, quality int, item_id string")
+    for stage in (lambda: quality.train(docs, docs), lambda: minhash.near_duplicates(docs), lambda: decontaminate.scan(docs, docs), lambda: sentencepiece_fst.encode(docs, queries.tokenizer_path("piece_bpe_32k.model"))):
+        spark.conf.unset(name)
+        stage()
+        assert int(spark.conf.get(name).rstrip("b")) == scratch.BATCH_BYTES
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as P
 
