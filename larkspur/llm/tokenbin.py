@@ -68,6 +68,9 @@ _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}
 _SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
+#: A part that stands between others where many are encoded as one text.
+_BETWEEN = "0"
+
 
 class ChunkEncoder:
     """Encodes through the tokenizers library, remembering parts of texts.
@@ -83,7 +86,7 @@ class ChunkEncoder:
     def __init__(self, path: str):
         # Each task has one core; the library's own threads would only wait.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -91,9 +94,26 @@ class ChunkEncoder:
         normalizer, splits = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}
         model = rules["model"]
         self.splits = normalizer.get("normalizers") == _NORMALIZER and splits.get("pretokenizers", [None])[0] == _SPLIT and len(splits["pretokenizers"]) == 2 and splits["pretokenizers"][1]["type"] == "ByteLevel" and not splits["pretokenizers"][1]["add_prefix_space"] and model["type"] == "BPE" and not model.get("dropout")
+        # Parts of plain texts are normal and one piece each, so they go to the same model without
+        # the normaliser's and the splitter's patterns, many in one text with a part between that
+        # is one id, which no other part has.
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids if self.splits else []
+        self.splits = len(self.between) == 1 and rules["truncation"] is None
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[str, bytes] = {}
         self.held = 0
 
+    def _plain_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of plain texts, none of them ``_BETWEEN``."""
+        text = f" {_BETWEEN} ".join(parts)
+        ids = np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at, body = (np.flatnonzero(ids == self.between[0]) * 4).tolist(), ids.tobytes()
+        if len(at) != len(parts) - 1:
+            raise ValueError("the tokenizer splits parts of plain texts")
+        return [body[a:b] for a, b in zip([0, *(x + 4 for x in at)], [*at, len(body)])]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -115,17 +135,24 @@ class ChunkEncoder:
         if self.held > MEMO_BYTES:
             memo.clear()
             self.held = 0
-        split, new = [], set()
+        split, new, plain = [], set(), set()
         for text in texts:
             if not self.splits or any(s in text for s in self.special):
                 parts = None
+            elif _PLAIN.fullmatch(text):
+                parts = _PARTS.findall(text.lower())
+                plain.update(parts)
             else:
-                parts = _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) else text.replace("\n", " ").split(" ")
+                parts = text.replace("\n", " ").split(" ")
                 new.update(parts)
             split.append(parts)
-        wanted = list(new.difference(memo))
-        if wanted:
-            found = self._ids(wanted)
+        if _BETWEEN in plain:
+            plain.remove(_BETWEEN)
+            new.add(_BETWEEN)
+        for wanted, ids_of in ((list(plain.difference(memo)), self._plain_ids), (list(new.difference(memo)), self._ids)):
+            if not wanted:
+                continue
+            found = ids_of(wanted)
             memo.update(zip(wanted, found))
             self.held += sum(map(len, wanted)) + sum(map(len, found)) + ENTRY_BYTES * len(wanted)
         for text, parts in zip(texts, split):

@@ -171,6 +171,20 @@ def test_chunked_encoding_equals_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in tokenbin.ChunkEncoder(path).encode(texts)] == [e.ids for e in want]
 
 
+def test_plain_parts_are_encoded_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    every = "".join(chr(c) for c in [9, 10, 11, 12, 13, *range(32, 127), *range(192, 256)] if c not in (215, 247))
+    texts = ["0", "0 0 x0 10 0s", "it's 0're ''s don't", every, " ".join(every), every[::-1], *[" ".join(prose(50, k)) for k in range(150)], "Стоп 0 x"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    encoder, calls, own = tokenbin.ChunkEncoder(path), [], tokenbin.ChunkEncoder._ids
+    monkeypatch.setattr(tokenbin.ChunkEncoder, "_ids", lambda self, parts: calls.extend(parts) or own(self, parts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    # The full rules run for other texts and for the part that stands between.
+    assert set(calls) == {"0", "Стоп"}
+
+
 def test_transducer_equals_the_library(spark):
     import sentencepiece
 
