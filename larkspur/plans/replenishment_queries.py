@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.columns import rounded
 from larkspur.operators import replenishment as R
 from larkspur.plans import views as V
 
@@ -77,7 +78,10 @@ class Plan:
 
     @cached_property
     def forecast(self) -> DataFrame:
-        return self.plan.select("supplier", "sku", F.inline("forecast"))
+        """A horizon has a month at least, so the outer form gives the same rows; for the inner
+        one the optimiser infers a filter and pushes it, with all steps of the plan written out
+        in it, below the projections."""
+        return self.plan.select("supplier", "sku", F.inline_outer("forecast"))
 
     @cached_property
     def stock(self) -> DataFrame:
@@ -192,6 +196,8 @@ _query("historical_growth", "plan", _K | _r("historical_growth"), "plan")
 _query("growth_factor", "plan", _K | _r("growth_factor"), "plan")
 _query("stockout_factor", "plan", _K | _r("stockout_factor"), "plan")
 _query("seasonal_forecast", "forecast", _K | {"month": "month", "season_index": "round(index, 6)"} | _r("weight") | _n("step"), "forecast", season_index='round("index", 6)')
+#: An index is a quotient of means and may be a tie in its decimal text only.
+QUERIES["seasonal_forecast"] = lambda spark, d: Plan(spark, d).forecast.select(*_K, "month", rounded(F.col("index"), 6).alias("season_index"), rounded(F.col("weight"), 6).alias("weight"), F.col("step").cast("bigint").alias("step"))
 _query("seasonal_index", "recommended", _K | _r("seasonal_index"), "rec")
 _query("adjusted_rate", "recommended", _K | _r("adjusted_rate"), "rec")
 _query("latest_opening_asof", "stock", _K | {"opening_month": "opening_month"} | _r("opening", "sold_since"), "stock")

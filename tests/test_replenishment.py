@@ -80,3 +80,27 @@ def test_batch_stock_counts_every_batch_and_falls_back_to_snapshots(spark):
     snapshot = spark.createDataFrame([("a", sku, 1000.0) for sku in ("x", "low", "gone", "rest")], "supplier string, sku string, current_stock double")
     got = {r.sku: r.current_stock for r in R.batch_over_snapshot(R.batch_stock(batches, 30.0), snapshot).collect()}
     assert got == {"x": 13.0, "low": 3.0, "gone": 0.0, "rest": 1000.0}
+
+
+def test_forecast_is_not_written_out_in_a_filter(spark):
+    plan = Q.QUERIES["seasonal_forecast"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(len(line) for line in plan.splitlines() if "Filter" in line) < 2_000
+
+
+def test_forecast_against_its_twin(spark, oracle):
+    test_twin(spark, oracle, "seasonal_forecast")
+
+
+def test_forecast_rounds_ties_as_its_twin(spark, tmp_path):
+    # January's share, 10.171875 of 10, is 1.0171875 as text; its millionfold is 1017187.4999999999 in doubles.
+    units = [10.171875, *[10.0] * 10, 9.828125]
+    rows = [(k, 1, 1, 1, x, f"2000-{k:02d}-15 00:00:00") for k, x in enumerate(units, 1)]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, day string")
+    items.withColumn("l_shipdate", F.col("day").cast("timestamp_ntz")).drop("day").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "pin", "SMALL", "B")], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = Q.QUERIES["seasonal_forecast"](spark, str(tmp_path)).collect()
+    twin = duckdb.connect()
+    for name in ("lineitem", "part"):
+        twin.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(twin.execute(Q.SQL["seasonal_forecast"]).fetchall())
+    assert {r.month: r.season_index for r in got} == {"2001-01": 1.017187, "2001-02": 1.0, "2001-03": 1.0}
